@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = "relational profiling timeseries evaluation preparation runlog text clusters".split()
+MODULES = "relational profiling timeseries evaluation preparation runlog text clusters arrays".split()
 
 
 def load_all() -> None:
