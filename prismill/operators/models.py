@@ -1,7 +1,340 @@
-"""placeholder"""
+"""Model registry: MLlib estimators behind short names, with penalties on the scale users know.
+
+A model takes a table with a ``features`` vector and a numeric ``label`` and returns it with
+``prediction`` (and ``probability`` where the model has one).
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from typing import Any
+
+import numpy as np
+import pandas as pd
+from pyspark.ml import Estimator, Model, classification as MC, regression as MR
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from prismill.operators import neighbours
 from prismill.operators.ordering import most_frequent
-def baseline_mode(train, target):
+from prismill.operators.preprocess import PreprocessConfig, Preprocessor, PreprocessModel
+
+CLASSIFICATION, REGRESSION = "classification", "regression"
+
+
+def baseline_mode(train: DataFrame, target: str) -> Column:
+    """The training part's most frequent value, as a constant column."""
     return most_frequent(train, target).select(target).scalar()
-def baseline_mean(train, target):
+
+
+def baseline_mean(train: DataFrame, target: str) -> Column:
     return train.agg(F.avg(target)).scalar()
+
+
+@dataclass(frozen=True)
+class TrainingFacts:
+    """What a penalty needs to know of the training rows."""
+
+    rows: int
+    classes: int
+    spread: float
+
+
+def training_facts(train: DataFrame, task: str) -> TrainingFacts:
+    classes = F.count_distinct("label") if task == CLASSIFICATION else F.lit(0)
+    row = train.agg(F.count("*").alias("n"), classes.alias("k"), F.stddev_samp("label").alias("s")).first()
+    return TrainingFacts(int(row["n"]), int(row["k"]), float(row["s"] or 1.0))
+
+
+# Rows per partition below which an iteration costs more in scheduling than in work.
+SMALL_PARTITION = 20_000
+
+
+def compact(df: DataFrame, facts: TrainingFacts) -> DataFrame:
+    """Fewer partitions for a small training set; iterative fits run a job per step. Large ones stay as they are."""
+    return df.coalesce(max(1, -(-facts.rows // SMALL_PARTITION)))
+
+
+def _one_vs_rest(estimator: Estimator, facts: TrainingFacts) -> Estimator:
+    return estimator if facts.classes <= 2 else MC.OneVsRest(classifier=estimator, parallelism=4)
+
+
+def logistic(facts: TrainingFacts, C: float = 1.0, seed: int = 0) -> Estimator:
+    """L2 penalty of strength 1/C on the summed loss."""
+    return MC.LogisticRegression(regParam=1 / (C * facts.rows), elasticNetParam=0.0, standardization=False, maxIter=300, tol=1e-5)
+
+
+def ridge(facts: TrainingFacts, alpha: float = 1.0, seed: int = 0) -> Estimator:
+    """L2 penalty alpha on the summed squared error; MLlib divides it by the target's deviation, undone here."""
+    return MR.LinearRegression(
+        regParam=alpha * facts.spread / facts.rows, elasticNetParam=0.0, standardization=False, solver="normal"
+    )
+
+
+def lasso(facts: TrainingFacts, alpha: float = 1.0, seed: int = 0) -> Estimator:
+    return MR.LinearRegression(regParam=alpha, elasticNetParam=1.0, standardization=False, maxIter=1000, tol=1e-9)
+
+
+def least_squares(facts: TrainingFacts, seed: int = 0) -> Estimator:
+    return MR.LinearRegression(regParam=0.0, solver="normal")
+
+
+def linear_svm(facts: TrainingFacts, C: float = 1.0, seed: int = 0, rounds: int = 30) -> Estimator:
+    """Hinge loss has kinks, so the optimiser is stopped after a set number of rounds rather than on a tiny gain."""
+    return _one_vs_rest(MC.LinearSVC(regParam=1 / (C * facts.rows), standardization=False, maxIter=rounds, tol=1e-4), facts)
+
+
+def decision_tree(facts: TrainingFacts, max_depth: int = 4, min_samples_leaf: int = 1, seed: int = 0) -> Estimator:
+    return MC.DecisionTreeClassifier(maxDepth=int(max_depth), minInstancesPerNode=int(min_samples_leaf), seed=seed)
+
+
+def forest(facts: TrainingFacts, n_estimators: int = 100, max_depth: int = 8, seed: int = 0) -> Estimator:
+    return MC.RandomForestClassifier(numTrees=int(n_estimators), maxDepth=int(max_depth), seed=seed)
+
+
+def forest_regressor(facts: TrainingFacts, n_estimators: int = 200, max_depth: int = 12, seed: int = 0) -> Estimator:
+    return MR.RandomForestRegressor(numTrees=int(n_estimators), maxDepth=int(max_depth), featureSubsetStrategy="all", seed=seed)
+
+
+def bagged_trees(facts: TrainingFacts, n_estimators: int = 50, max_depth: int = 8, seed: int = 0) -> Estimator:
+    return MC.RandomForestClassifier(numTrees=int(n_estimators), maxDepth=int(max_depth), featureSubsetStrategy="all", seed=seed)
+
+
+def boosted(facts: TrainingFacts, n_estimators: int = 100, learning_rate: float = 0.1, max_depth: int = 3, seed: int = 0) -> Estimator:
+    return _one_vs_rest(
+        MC.GBTClassifier(maxIter=int(n_estimators), stepSize=learning_rate, maxDepth=int(max_depth), seed=seed), facts
+    )
+
+
+def boosted_regressor(facts: TrainingFacts, n_estimators: int = 300, learning_rate: float = 0.05, max_depth: int = 5, seed: int = 0) -> Estimator:
+    return MR.GBTRegressor(maxIter=int(n_estimators), stepSize=learning_rate, maxDepth=int(max_depth), seed=seed)
+
+
+class RandomFeatures(Estimator):
+    """Radial kernel by random Fourier features: cosines of fixed projections, then a linear model."""
+
+    def __init__(self, facts: TrainingFacts, C: float, gamma: float, n_features: int = 200, seed: int = 0):
+        super().__init__()
+        self.facts, self.C, self.gamma, self.n_features, self.seed = facts, C, gamma, n_features, seed
+
+    def _fit(self, df: DataFrame) -> "RandomFeaturesModel":
+        width = len(df.select("features").first()["features"])
+        rng = np.random.default_rng(self.seed)
+        w = rng.normal(size=(width, self.n_features)) * math.sqrt(2 * self.gamma)
+        b = rng.uniform(0, 2 * math.pi, self.n_features)
+        mapped = _project(df, w, b)
+        return RandomFeaturesModel(w, b, linear_svm(self.facts, self.C).fit(mapped))
+
+
+class RandomFeaturesModel(Model):
+    def __init__(self, w: np.ndarray, b: np.ndarray, model: Model):
+        super().__init__()
+        self.w, self.b, self.model = w, b, model
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        out = self.model.transform(_project(df.withColumn("_original", F.col("features")), self.w, self.b))
+        return out.drop("features").withColumnRenamed("_original", "features")
+
+
+def _project(df: DataFrame, w: np.ndarray, b: np.ndarray) -> DataFrame:
+    scale = math.sqrt(2 / w.shape[1])
+
+    @F.pandas_udf("array<double>")
+    def cosines(rows: pd.Series) -> pd.Series:
+        if rows.empty:
+            return pd.Series([], dtype=object)
+        x = np.stack([np.asarray(r, dtype=float) for r in rows])
+        return pd.Series(list(scale * np.cos(x @ w + b)), index=rows.index)
+
+    return df.withColumn("features", array_to_vector(cosines(vector_to_array("features"))))
+
+
+def rbf_svm(facts: TrainingFacts, C: float = 1.0, gamma: float = 1.0, seed: int = 0) -> Estimator:
+    return RandomFeatures(facts, C, gamma, seed=seed)
+
+
+class NearestVote(Estimator):
+    """k nearest neighbours; needs an integer ``row_id`` column."""
+
+    def __init__(self, k: int, weights: str):
+        super().__init__()
+        self.k, self.weights = k, weights
+
+    def _fit(self, df: DataFrame) -> "NearestVoteModel":
+        return NearestVoteModel(df, self.k, self.weights)
+
+
+class NearestVoteModel(Model):
+    def __init__(self, train: DataFrame, k: int, weights: str):
+        super().__init__()
+        self.train, self.k, self.weights = train, k, weights
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        arrays = lambda d: d.withColumn("_v", vector_to_array("features"))
+        votes = neighbours.knn_classify(arrays(self.train), arrays(df), "row_id", "_v", "label", self.k, self.weights)
+        return df.join(votes.select("row_id", F.col("predicted").cast("double").alias("prediction")), "row_id")
+
+
+def nearest_vote(facts: TrainingFacts, n_neighbors: int = 5, weights: str = "uniform", seed: int = 0) -> Estimator:
+    return NearestVote(int(n_neighbors), weights)
+
+
+class GaussianBayes(Estimator):
+    def __init__(self, var_smoothing: float):
+        super().__init__()
+        self.var_smoothing = var_smoothing
+
+    def _fit(self, df: DataFrame) -> "GaussianBayesModel":
+        width = len(df.select("features").first()["features"])
+        names = [f"_x{i}" for i in range(width)]
+        wide = _spread(df, names)
+        return GaussianBayesModel(names, neighbours.fit_naive_bayes(wide, names, "label", self.var_smoothing))
+
+
+class GaussianBayesModel(Model):
+    def __init__(self, names: list[str], numbers: list[tuple]):
+        super().__init__()
+        self.names, self.numbers = names, numbers
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        wide = neighbours.naive_bayes_classify(_spread(df, self.names), self.names, self.numbers, "prediction")
+        return wide.drop(*self.names)
+
+
+def _spread(df: DataFrame, names: list[str]) -> DataFrame:
+    arrays = df.withColumn("_v", vector_to_array("features"))
+    return arrays.withColumns({n: F.get("_v", F.lit(i)) for i, n in enumerate(names)}).drop("_v")
+
+
+def gaussian_bayes(facts: TrainingFacts, var_smoothing: float = 1e-9, seed: int = 0) -> Estimator:
+    return GaussianBayes(var_smoothing)
+
+
+@dataclass(frozen=True)
+class ModelSpec:
+    key: str
+    build: Callable[..., Estimator]
+    scaled: bool
+    defaults: dict[str, Any] = field(default_factory=dict)
+
+
+# The models and their default settings.
+CLASSIFIERS = {
+    s.key: s
+    for s in (
+        ModelSpec("logreg", logistic, True, {"C": 1.0}),
+        ModelSpec("knn", nearest_vote, True, {"n_neighbors": 5, "weights": "uniform"}),
+        ModelSpec("svm_linear", linear_svm, True, {"C": 1.0}),
+        ModelSpec("svm_rbf", rbf_svm, True, {"C": 1.0, "gamma": 1.0}),
+        ModelSpec("tree", decision_tree, False, {"max_depth": 4, "min_samples_leaf": 1}),
+        ModelSpec("forest", forest, False, {"n_estimators": 100, "max_depth": 8}),
+        ModelSpec("gbdt", boosted, False, {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3}),
+        ModelSpec("bagging", bagged_trees, False, {"n_estimators": 50, "max_depth": 8}),
+        ModelSpec("gnb", gaussian_bayes, False, {"var_smoothing": 1e-9}),
+    )
+}
+ENSEMBLE_STAGES = ("tree", "bagging", "forest", "gbdt")
+
+
+def fit_classifier(key: str, train: DataFrame, numeric: list[str], params: dict[str, Any] | None = None, seed: int = 0) -> "TabularModel":
+    """Fit a registry model on numeric columns and a numeric ``label``."""
+    spec = CLASSIFIERS[key]
+    config = PreprocessConfig(numeric_impute="mean", scale=spec.scaled)
+    prep = Preprocessor(numeric, [], config).fit(train)
+    ready = prep.transform(train)
+    settings = {**spec.defaults, **(params or {})}
+    facts = training_facts(ready, CLASSIFICATION)
+    model = spec.build(facts, seed=seed, **settings).fit(compact(ready, facts))
+    return TabularModel(prep, model, CLASSIFICATION, [])
+
+
+# --- tables with a target column ----------------------------------------------------
+
+
+class _Constant(Model):
+    def __init__(self, value: float, classes: int):
+        super().__init__()
+        self.value, self.classes = value, classes
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        out = df.withColumn("prediction", F.lit(self.value))
+        if self.classes:
+            shares = [F.lit(1.0 if i == self.value else 0.0) for i in range(self.classes)]
+            out = out.withColumn("probability", array_to_vector(F.array(*shares)))
+        return out
+
+
+# model key -> (tree based, classifier, regressor)
+TABULAR = {
+    "boosted": (True, lambda f, s, **o: boosted(f, seed=s, **{"n_estimators": 300, "learning_rate": 0.05, "max_depth": 5, **o}),
+                lambda f, s, **o: boosted_regressor(f, seed=s, **o)),
+    "forest": (True, lambda f, s, **o: forest(f, seed=s, **{"n_estimators": 200, "max_depth": 12, **o}),
+               lambda f, s, **o: forest_regressor(f, seed=s, **o)),
+    "linear": (False, lambda f, s, **o: logistic(f, seed=s, **o), lambda f, s, **o: ridge(f, seed=s, **o)),
+    "baseline": (False, None, None),
+}
+
+
+class TabularPipeline(Estimator):
+    """Preprocessing and a model as one unit, so that a fold never sees another fold's medians or levels."""
+
+    def __init__(
+        self, key: str, task: str, target: str, numeric: list[str], categorical: list[str],
+        config: PreprocessConfig = PreprocessConfig(), seed: int = 0, options: dict[str, Any] | None = None,
+    ):
+        super().__init__()
+        self.key, self.task, self.target = key, task, target
+        self.numeric, self.categorical, self.seed = numeric, categorical, seed
+        self.options = options or {}
+        tree = TABULAR[key][0]
+        self.config = PreprocessConfig(config.numeric_impute, config.categorical_impute, config.scale and not tree, config.encode)
+
+    def _fit(self, df: DataFrame) -> "TabularModel":
+        labels: list[str] = []
+        known = df.where(F.col(self.target).isNotNull())
+        if self.task == CLASSIFICATION:
+            # one string per class
+            labels = [r[0] for r in known.select(F.col(self.target).cast("string")).distinct().orderBy(self.target).collect()]
+        prep = Preprocessor(self.numeric, self.categorical, self.config).fit(known)
+        ready = prep.transform(with_label(known, self.target, labels)).persist()
+        try:
+            model = self._model(ready, labels)
+        finally:
+            ready.unpersist()
+        return TabularModel(prep, model, self.task, labels, self.target)
+
+    def _model(self, ready: DataFrame, labels: list[str]) -> Model:
+        if self.key == "baseline":
+            if self.task == CLASSIFICATION:
+                return _Constant(most_frequent(ready, "label").first()["label"], len(labels))
+            return _Constant(ready.agg(F.avg("label")).first()[0], 0)
+        build = TABULAR[self.key][1 if self.task == CLASSIFICATION else 2]
+        facts = training_facts(ready, self.task)
+        return build(facts, self.seed, **self.options).fit(compact(ready, facts))
+
+
+def with_label(df: DataFrame, target: str, labels: list[str]) -> DataFrame:
+    """Numeric ``label`` column: the class's place in the sorted list, or the value itself."""
+    if not labels:
+        return df.withColumn("label", F.col(target).cast("double"))
+    names = F.array(*[F.lit(v) for v in labels])
+    return df.withColumn("label", (F.array_position(names, F.col(target).cast("string")) - 1).cast("double"))
+
+
+class TabularModel(Model):
+    def __init__(self, prep: PreprocessModel, model: Model, task: str, labels: list[str], target: str | None = None):
+        super().__init__()
+        self.prep, self.model, self.task, self.labels, self.target = prep, model, task, labels, target
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        """Adds ``prediction``, the numeric ``label`` when the target is there, and ``predicted`` class names."""
+        if self.target and self.target in df.columns:
+            df = with_label(df, self.target, self.labels)
+        out = self.model.transform(self.prep.transform(df))
+        if self.labels:
+            names = F.array(*[F.lit(v) for v in self.labels])
+            out = out.withColumn("predicted", F.get(names, F.col("prediction").cast("int")))
+        return out

@@ -1,14 +1,18 @@
 """Image operators on array columns: one row per image, row-major values.
 
-Everything that stays within one image is an expression over its array, so nothing is shuffled.
+Everything that stays within one image is an expression over its array, so nothing is shuffled. Gradient
+directions run in numpy on whole Arrow batches of images.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The 3x3 kernels, rows top to bottom.
 KERNELS = {
@@ -136,60 +140,58 @@ def binarise(image: Column, threshold: Column) -> Column:
     return F.transform(image, lambda v: (v > threshold).cast("double"))
 
 
-def hog_cells(image: Column, height: int, width: int, orientations: int = 8, cell: int = 2) -> Column:
-    """Gradient strength per cell and direction, in the order cell row, cell column, direction."""
-
-    def change(y: Column, x: Column, dy: int, dx: int) -> Column:
-        inside = (y > 0) & (y < height - 1) if dy else (x > 0) & (x < width - 1)
-        value = _at(image, y + dy, x + dx, height, width) - _at(image, y - dy, x - dx, height, width)
-        return F.when(inside, value).otherwise(0.0)
-
-    across_cells = width // cell
-
-    def total(index: Column) -> Column:
-        direction, place = index % orientations, F.floor(index / orientations).cast("int")
-        top, left = F.floor(place / across_cells).cast("int") * cell, (place % across_cells) * cell
-
-        def add(so_far: Column, k: Column) -> Column:
-            y, x = top + F.floor(k / cell).cast("int"), left + k % cell
-            down, right = change(y, x, 1, 0), change(y, x, 0, 1)
-            angle = F.degrees(F.atan2(down, right))
-            angle = F.when(angle < 0, angle + 180).otherwise(angle)
-            angle = F.when(angle >= 180, angle - 180).otherwise(angle)
-            own = F.floor(angle / F.lit(180.0 / orientations)) == direction
-            return so_far + F.when(own, F.sqrt(down * down + right * right)).otherwise(0.0)
-
-        return F.aggregate(F.sequence(F.lit(0), F.lit(cell * cell - 1)), F.lit(0.0), add) / (cell * cell)
-
-    count = (height // cell) * across_cells * orientations
-    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), total)
-
-
-def hog_blocks(cells: Column, rows: int, columns: int, orientations: int = 8, block: int = 2) -> Column:
-    """Cells of overlapping blocks, normalised, clipped at .2 and normalised again."""
+def _cell_strengths(images: np.ndarray, orientations: int, cell: int) -> np.ndarray:
+    """Gradient strength per image, cell row, cell column and direction."""
+    down, right = np.zeros_like(images), np.zeros_like(images)
+    down[:, 1:-1, :] = images[:, 2:, :] - images[:, :-2, :]
+    right[:, :, 1:-1] = images[:, :, 2:] - images[:, :, :-2]
+    strength = np.hypot(down, right)
+    direction = np.floor(np.degrees(np.arctan2(down, right)) % 180 / (180 / orientations))
+    n, height, width = images.shape
+    rows, columns = height // cell, width // cell
+    out = np.empty((n, rows, columns, orientations))
+    for o in range(orientations):
+        own = np.where(direction == o, strength, 0)[:, : rows * cell, : columns * cell]
+        out[..., o] = own.reshape(n, rows, cell, columns, cell).mean(axis=(2, 4))
+    return out
+
+
+def _block_values(cells: np.ndarray, block: int) -> np.ndarray:
+    """Overlapping blocks of cells, normalised, clipped at .2 and normalised again, one row per image."""
+    n, rows, columns, _ = cells.shape
     parts = []
     for r in range(rows - block + 1):
         for c in range(columns - block + 1):
-            strips = [
-                F.slice(cells, ((r + i) * columns + c) * orientations + 1, block * orientations) for i in range(block)
-            ]
-            parts.append(F.flatten(F.array(*strips)))
-    eps2 = F.lit(1e-5**2)
+            values = cells[:, r : r + block, c : c + block, :].reshape(n, -1)
+            for limit in (0.2, None):
+                values = values / np.sqrt((values**2).sum(axis=1, keepdims=True) + 1e-5**2)
+                values = values if limit is None else np.minimum(values, limit)
+            parts.append(values)
+    return np.concatenate(parts, axis=1)
+
+
+def _per_batch(work):
+    """Apply ``work`` to the stacked images of an Arrow batch."""
 
-    def scaled(values: Column) -> Column:
-        length = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, v: a + v * v) + eps2)
-        return F.transform(values, lambda v: v / length)
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(images: pd.Series) -> pd.Series:
+        if images.empty:
+            return pd.Series([], dtype=object)
+        return pd.Series(list(work(np.stack([np.asarray(v, dtype=float) for v in images]))), index=images.index)
 
-    def both(values: Column) -> Column:
-        clipped = F.transform(scaled(values), lambda v: F.least(v, F.lit(0.2)))
-        return scaled(clipped)
+    return run
 
-    return F.flatten(F.transform(F.array(*parts), both))
+
+def hog_cells(image: Column, height: int, width: int, orientations: int = 8, cell: int = 2) -> Column:
+    """Gradient strength per cell and direction, in the order cell row, cell column, direction."""
+    work = lambda flat: _cell_strengths(flat.reshape(-1, height, width), orientations, cell).reshape(len(flat), -1)
+    return _per_batch(work)(image)
 
 
 def hog(image: Column, height: int, width: int, orientations: int = 9, cell: int = 16, block: int = 2) -> Column:
-    cells = hog_cells(image, height, width, orientations, cell)
-    return hog_blocks(cells, height // cell, width // cell, orientations, block)
+    """Normalised blocks of gradient directions, the feature vector of an image."""
+    work = lambda flat: _block_values(_cell_strengths(flat.reshape(-1, height, width), orientations, cell), block)
+    return _per_batch(work)(image)
 
 
 def image_features(df: DataFrame, image: str, method: str, height: int = 8, width: int = 8, out: str = "features") -> DataFrame:
@@ -200,8 +202,7 @@ def image_features(df: DataFrame, image: str, method: str, height: int = 8, widt
     if method == "edges":
         return df.withColumn(out, edges(c, "sobel", height, width))
     if method == "hog":
-        cells = df.withColumn("_cells", hog_cells(c, height, width, 8, 2))
-        return cells.withColumn(out, hog_blocks(F.col("_cells"), height // 2, width // 2, 8, 2)).drop("_cells")
+        return df.withColumn(out, hog(c, height, width, orientations=8, cell=2, block=2))
     raise ValueError(f"unknown feature set {method}")
 
 

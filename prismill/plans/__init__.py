@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = "relational profiling timeseries evaluation preparation runlog text clusters arrays".split()
+MODULES = (
+    "relational profiling ingest timeseries evaluation preparation runlog text clusters arrays topics learning"
+).split()
 
 
 def load_all() -> None:

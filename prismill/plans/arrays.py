@@ -122,15 +122,20 @@ def direction_features(spark, folder):
 
 
 @query(
-    "feature_set_sizes",
+    "feature_sets",
     "I06",
-    "SELECT vec_id, 64 AS raw, 288 AS hog, 64 AS edges FROM embeddings",
+    f"""WITH {_IMG}, c AS (SELECT vec_id, v, {_conv_sql('a', P.SOBEL_ROWS)}, {_conv_sql('b', P.SOBEL_COLUMNS)} FROM px)
+    SELECT vec_id, CAST(count(*) AS INT) AS raw_size, round(sum(v), 6) AS raw_sum, CAST(count(*) AS INT) AS edges_size,
+      round(sum(sqrt((a * a + b * b) / 2)), 6) AS edges_sum FROM c GROUP BY 1""",
 )
-def feature_set_sizes(spark, folder):
+def feature_sets(spark, folder):
     rows = images(spark, folder)
-    for name in ("raw", "hog", "edges"):
+    for name in ("raw", "edges"):
         rows = P.image_features(rows, "image", name, out=name)
-    return rows.select("vec_id", *[F.size(c).alias(c) for c in ("raw", "hog", "edges")])
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, v: a + v), 6)
+    return rows.select(
+        "vec_id", *[e for c in ("raw", "edges") for e in (F.size(c).alias(f"{c}_size"), total(c).alias(f"{c}_sum"))]
+    )
 
 
 @query(
