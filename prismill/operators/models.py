@@ -45,7 +45,7 @@ class TrainingFacts:
 
 def training_facts(train: DataFrame, task: str) -> TrainingFacts:
     classes = F.count_distinct("label") if task == CLASSIFICATION else F.lit(0)
-    row = train.agg(F.count("*").alias("n"), classes.alias("k"), F.stddev_samp("label").alias("s")).first()
+    row = train.agg(F.count("*").alias("n"), classes.alias("k"), F.stddev_pop("label").alias("s")).first()
     return TrainingFacts(int(row["n"]), int(row["k"]), float(row["s"] or 1.0))
 
 

@@ -17,7 +17,7 @@ def nearest(
 ) -> DataFrame:
     """The k nearest training rows of every query: k per block first, then k of those."""
     left = queries.select(F.col(row_id).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    right = train.select(F.col(row_id).alias("tid"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("string").alias("label"))
+    right = train.select(F.col(row_id).alias("tid"), F.col(vector).cast("array<double>").alias("v"))
 
     def closest(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         a, b = matrix(x["v"]), matrix(y["v"])
@@ -26,13 +26,13 @@ def nearest(
         rank = np.lexsort((np.broadcast_to(y["tid"].to_numpy(), d.shape), d), axis=1)[:, :take]
         exact = np.sqrt(((a[:, None, :] - b[rank]) ** 2).sum(axis=2))
         return pd.DataFrame(
-            {"id": np.repeat(x["id"].to_numpy(), take), "tid": y["tid"].to_numpy()[rank].ravel(),
-             "label": y["label"].to_numpy()[rank].ravel(), "distance": exact.ravel()}
+            {"id": np.repeat(x["id"].to_numpy(), take), "tid": y["tid"].to_numpy()[rank].ravel(), "distance": exact.ravel()}
         )
 
-    partial = each_block_pair(left, right, "id", "tid", closest, "id bigint, tid bigint, label string, distance double")
+    partial = each_block_pair(left, right, "id", "tid", closest, "id bigint, tid bigint, distance double")
     place = F.row_number().over(Window.partitionBy("id").orderBy("distance", "tid"))
-    return partial.withColumn("rank", place).where(F.col("rank") <= k)
+    best = partial.withColumn("rank", place).where(F.col("rank") <= k)
+    return best.join(train.select(F.col(row_id).alias("tid"), F.col(label).cast("string").alias("label")), "tid")
 
 
 def knn_classify(

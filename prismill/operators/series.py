@@ -233,7 +233,7 @@ def decompose_stl(series: DataFrame, keys: list[str], period: int, robust: bool
         part = part.sort_values("ts")
         y = part["value"].to_numpy(dtype=float)
         if len(y) < 2 * period:
-            return pd.DataFrame({f.name: [] for f in out.fields})
+            return part[[*keys, "ts"]].iloc[:0].assign(observed=0.0, trend=0.0, seasonal=0.0, residual=0.0)
         trend, seasonal, residual = stl(y, period, robust)
         return part[[*keys, "ts"]].assign(observed=y, trend=trend, seasonal=seasonal, residual=residual)
 

@@ -22,7 +22,7 @@ def inject_missing(df: DataFrame, names: list[str], rate: float, row_id: str, se
     return df.withColumns(holes)
 
 
-def hold_out(df: DataFrame, row_id: str, stratify: str | None = None, train: float = 0.7, seed: int = 0) -> DataFrame:
+def hold_out(df: DataFrame, row_id: str, stratify: str | None = None, test: float = 0.3, seed: int = 0) -> DataFrame:
     """Add ``part`` (train or test), balanced per class when every class has at least two rows."""
     if stratify is None:
         stratum: Column = F.lit("all")
@@ -32,7 +32,7 @@ def hold_out(df: DataFrame, row_id: str, stratify: str | None = None, train: flo
     placed = shuffled_rank(df.withColumn("_stratum", stratum), ["_stratum"], row_id, "_rank", seed)
     sizes = df.withColumn("_stratum", stratum).groupBy("_stratum").agg(F.count("*").alias("_n"))
     placed = placed.join(sizes, "_stratum")
-    part = F.when(F.col("_rank") <= F.floor(F.col("_n") * train), "train").otherwise("test")
+    part = F.when(F.col("_rank") <= F.col("_n") - F.ceil(F.col("_n") * F.lit(test)), "train").otherwise("test")
     return placed.withColumn("part", part).drop("_rank", "_n", "_stratum")
 
 

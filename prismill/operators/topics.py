@@ -241,11 +241,10 @@ def _learner(rows: int) -> MC.LogisticRegression:
 
 def _labelled(vectorised: Vectorised, doc_id: str, label: str) -> tuple[DataFrame, list[str]]:
     docs = vectorised.docs.where(F.col(label).isNotNull())
+    docs = docs.select(doc_id, F.col(label).cast("string").alias("actual"), F.col("tfidf").alias("features"))
     # one string per class
-    found = docs.select(F.col(label).cast("string").alias("l")).distinct().orderBy("l").collect()
-    labels = [r["l"] for r in found]
-    rows = with_label(docs, label, labels)
-    return rows.select(doc_id, "label", F.col(label).cast("string").alias("actual"), F.col("tfidf").alias("features")), labels
+    labels = [r["actual"] for r in docs.select("actual").distinct().orderBy("actual").collect()]
+    return with_label(docs, "actual", labels), labels
 
 
 def classify_documents(vectorised: Vectorised, doc_id: str, label: str, splits: int = 5, seed: int = 0) -> DataFrame:

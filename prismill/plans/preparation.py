@@ -135,7 +135,7 @@ def _rank_sql(source: str, key: str, group: str, seed: int = 0) -> str:
 @query(
     "hold_out_stratified",
     "B10",
-    f"WITH {_rank_sql('orders', 'o_orderkey', 'o_orderstatus')} SELECT o_orderkey, o_orderstatus, CASE WHEN r <= floor(n * 0.7) THEN 'train' ELSE 'test' END AS part FROM r",
+    f"WITH {_rank_sql('orders', 'o_orderkey', 'o_orderstatus')} SELECT o_orderkey, o_orderstatus, CASE WHEN r <= n - ceil(n * 0.3::DOUBLE) THEN 'train' ELSE 'test' END AS part FROM r",
 )
 def hold_out_stratified(spark, folder):
     rows = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
@@ -218,7 +218,7 @@ def fold_balance(spark, folder):
     "B13",
     f"""
     WITH r AS (SELECT *, row_number() OVER (PARTITION BY 1 ORDER BY {scatter_sql('o_orderkey')}, o_orderkey) AS k, count(*) OVER () AS n FROM orders),
-    h AS (SELECT *, k <= floor(n * 0.7) AS train FROM r),
+    h AS (SELECT *, k <= n - ceil(n * 0.3::DOUBLE) AS train FROM r),
     m AS (SELECT arg_max(o_orderpriority, c) AS mode FROM (SELECT o_orderpriority, count(*) AS c FROM h WHERE train GROUP BY 1)),
     v AS (SELECT avg(o_totalprice) AS mean FROM h WHERE train)
     SELECT mode, round(mean, 4) AS mean, round(avg(CASE WHEN o_orderpriority = mode THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
