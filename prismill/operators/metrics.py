@@ -59,12 +59,8 @@ def score_steps(df: DataFrame, truth: str, score: str, keys: list[str] | None =
         .agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) != 1).alias("neg"))
         .withColumn("_down", -F.col("threshold"))
     )
-    totals = steps.groupBy(*keys).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    placed = running(steps, keys, ["_down"], {"tp": F.col("pos"), "fp": F.col("neg")}).drop("_down")
-    if keys:
-        return placed.join(totals, keys)
-    both = totals.agg(F.struct(F.max("all_pos").alias("p"), F.max("all_neg").alias("n"))).scalar()
-    return placed.withColumn("_all", both).withColumn("all_pos", F.col("_all.p")).withColumn("all_neg", F.col("_all.n")).drop("_all")
+    placed = running(steps, keys, ["_down"], {"tp": F.col("pos"), "fp": F.col("neg")}, grand=True)
+    return placed.drop("_down").withColumnsRenamed({"all_tp": "all_pos", "all_fp": "all_neg"})
 
 
 def roc_curve(steps: DataFrame) -> DataFrame:

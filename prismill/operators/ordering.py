@@ -70,11 +70,13 @@ def running(
     how: str = "sum",
     ranges: int | None = None,
     range_of: Column | None = None,
+    grand: bool = False,
 ) -> DataFrame:
     """Add running sums (or maxima) of ``totals`` per key, up to and including each row.
 
     ``order`` must be unique within a key. ``range_of`` replaces the sampled cut points where the
     spread of the order key is known, as it is for scattered ids; it must not fall along the order.
+    ``grand`` also adds each key's total as ``all_<name>``; it comes from the range totals for free.
     """
     aggregate, combine = _COMBINE[how]
     if range_of is not None:
@@ -86,10 +88,11 @@ def running(
     per_range = ranged.groupBy(*keys, RANGE).agg(
         *[aggregate(f"_v_{n}").alias(f"_t_{n}") for n in totals]
     )
-    before = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    before = before.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    before = whole.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     starts = per_range.select(
-        *keys, RANGE, *[aggregate(f"_t_{n}").over(before).alias(f"_s_{n}") for n in totals]
+        *keys, RANGE, *[aggregate(f"_t_{n}").over(before).alias(f"_s_{n}") for n in totals],
+        *[aggregate(f"_t_{n}").over(whole).alias(f"all_{n}") for n in totals if grand],
     )
     inside = (
         Window.partitionBy(*keys, RANGE)
@@ -117,13 +120,16 @@ def ranked(
 
 
 def shuffled_rank(
-    df: DataFrame, keys: list[str], row_id: str, name: str = "rank", seed: int = 0
+    df: DataFrame, keys: list[str], row_id: str, name: str = "rank", seed: int = 0, grand: bool = False
 ) -> DataFrame:
-    """Add each row's position within its key in a repeatable shuffled order of an integer id."""
+    """Add each row's position within its key in a repeatable shuffled order of an integer id.
+
+    With ``grand`` the key's row count is added as ``all_<name>``.
+    """
     spread = df.withColumn("_scatter", scatter(row_id, seed))
     range_of = F.floor(F.col("_scatter") * F.lit(_range_count(df)) / F.lit(MODULUS)).cast("int")
     one = F.lit(1).cast("bigint")
-    return running(spread, keys, ["_scatter", row_id], {name: one}, range_of=range_of).drop("_scatter")
+    return running(spread, keys, ["_scatter", row_id], {name: one}, range_of=range_of, grand=grand).drop("_scatter")
 
 
 def exact_quantiles(
@@ -144,12 +150,8 @@ def exact_quantiles(
         .groupBy(*keys, F.col(value).cast("double").alias("_value"))
         .agg(F.count("*").alias("_c"))
     )
-    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    placed = running(counts, keys, ["_value"], {"_hi": F.col("_c")}, ranges=ranges)
-    if keys:
-        placed = _same_keys(placed, sizes, keys)
-    else:
-        placed = placed.withColumn("_n", sizes.scalar())
+    placed = running(counts, keys, ["_value"], {"_hi": F.col("_c")}, ranges=ranges, grand=True)
+    placed = placed.withColumnRenamed("all__hi", "_n")
     picks = []
     for name, p in probabilities.items():
         position = F.lit(p) * (F.col("_n") - 1)

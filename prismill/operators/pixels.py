@@ -32,11 +32,16 @@ LAPLACE = ((0, -1, 0), (-1, 4, -1), (0, -1, 0))
 OTSU_BINS = 256
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once; inside a lambda it would be worked out per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _at(image: Column, y: Column, x: Column, height: int, width: int) -> Column:
     """Pixel at a position, the nearest edge pixel outside."""
     row = F.least(F.greatest(y, F.lit(0)), F.lit(height - 1))
     column = F.least(F.greatest(x, F.lit(0)), F.lit(width - 1))
-    return F.get(image, (row * width + column).cast("int"))
+    return F.get(image, (row * width + column).cast("int")).cast("double")
 
 
 def _each_pixel(height: int, width: int, value) -> Column:
@@ -50,15 +55,15 @@ def _each_pixel(height: int, width: int, value) -> Column:
 def convolve(image: Column, kernel, height: int, width: int) -> Column:
     """True convolution (the kernel is flipped) with a 3x3 kernel, edges continued by the nearest pixel."""
 
-    def value(y: Column, x: Column) -> Column:
+    def value(pixels: Column, y: Column, x: Column) -> Column:
         out = F.lit(0.0)
         for i in range(3):
             for j in range(3):
                 if kernel[i][j]:
-                    out = out + F.lit(float(kernel[i][j])) * _at(image, y - (i - 1), x - (j - 1), height, width)
+                    out = out + F.lit(float(kernel[i][j])) * _at(pixels, y - (i - 1), x - (j - 1), height, width)
         return out
 
-    return _each_pixel(height, width, value)
+    return _let(image, lambda pixels: _each_pixel(height, width, lambda y, x: value(pixels, y, x)))
 
 
 def convolve_channels(image: Column, kernel, height: int, width: int) -> Column:
@@ -68,8 +73,12 @@ def convolve_channels(image: Column, kernel, height: int, width: int) -> Column:
 
 def normalise(image: Column) -> Column:
     """Stretch each image to 0..1; a constant image becomes 0."""
-    low, span = F.array_min(image), F.array_max(image) - F.array_min(image)
-    return F.transform(image, lambda v: F.when(span < 1e-12, F.lit(0.0)).otherwise((v - low) / span))
+    facts = F.struct(image.alias("v"), F.array_min(image).alias("low"), (F.array_max(image) - F.array_min(image)).alias("span"))
+
+    def stretched(f: Column) -> Column:
+        return F.transform(f["v"], lambda v: F.when(f["span"] < 1e-12, F.lit(0.0)).otherwise((v - f["low"]) / f["span"]))
+
+    return _let(facts, stretched)
 
 
 def edges(image: Column, method: str, height: int, width: int) -> Column:
@@ -137,7 +146,7 @@ def mean_threshold(image: Column) -> Column:
 
 def binarise(image: Column, threshold: Column) -> Column:
     """1 above the threshold, 0 elsewhere."""
-    return F.transform(image, lambda v: (v > threshold).cast("double"))
+    return _let(threshold, lambda t: F.transform(image, lambda v: (v > t).cast("double")))
 
 
 def _cell_strengths(images: np.ndarray, orientations: int, cell: int) -> np.ndarray:

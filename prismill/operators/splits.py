@@ -25,15 +25,14 @@ def inject_missing(df: DataFrame, names: list[str], rate: float, row_id: str, se
 def hold_out(df: DataFrame, row_id: str, stratify: str | None = None, test: float = 0.3, seed: int = 0) -> DataFrame:
     """Add ``part`` (train or test), balanced per class when every class has at least two rows."""
     if stratify is None:
-        stratum: Column = F.lit("all")
+        placed = shuffled_rank(df, [], row_id, "_rank", seed, grand=True)
     else:
         smallest = df.groupBy(stratify).agg(F.count("*").alias("n")).agg(F.min("n")).scalar()
-        stratum = F.when(smallest >= 2, F.col(stratify).cast("string")).otherwise("all")
-    placed = shuffled_rank(df.withColumn("_stratum", stratum), ["_stratum"], row_id, "_rank", seed)
-    sizes = df.withColumn("_stratum", stratum).groupBy("_stratum").agg(F.count("*").alias("_n"))
-    placed = placed.join(sizes, "_stratum")
-    part = F.when(F.col("_rank") <= F.col("_n") - F.ceil(F.col("_n") * F.lit(test)), "train").otherwise("test")
-    return placed.withColumn("part", part).drop("_rank", "_n", "_stratum")
+        rows = df.withColumn("_stratum", F.when(smallest >= 2, F.col(stratify).cast("string")).otherwise("all"))
+        placed = shuffled_rank(rows, ["_stratum"], row_id, "_rank", seed, grand=True).drop("_stratum")
+    n = F.col("all__rank")
+    part = F.when(F.col("_rank") <= n - F.ceil(n * F.lit(test)), "train").otherwise("test")
+    return placed.withColumn("part", part).drop("_rank", "all__rank")
 
 
 def shuffled_folds(df: DataFrame, row_id: str, splits: int = 5, stratify: str | None = None, seed: int = 0) -> DataFrame:

@@ -22,23 +22,36 @@ STOP_WORDS = (
 BROADCAST_TERMS = 200_000
 
 
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1))
+
+
+def _kept(word: Column, min_length: int, stop_words: list[str] | None) -> Column:
+    stop = STOP_WORDS if stop_words is None else stop_words
+    long_enough = F.length(word) >= min_length
+    return long_enough & ~word.isin(stop) if stop else long_enough
+
+
 def tokens_of(text: Column, min_length: int = 2, stop_words: list[str] | None = None) -> Column:
     """Lower-cased words of a text: runs of letters, long enough, without stop words."""
-    stop = STOP_WORDS if stop_words is None else stop_words
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1))
-    keep = lambda w: (F.length(w) >= min_length) & ~w.isin(stop) if stop else F.length(w) >= min_length
-    return F.filter(words, keep)
+    return F.filter(_words(text), lambda w: _kept(w, min_length, stop_words))
 
 
 def tokenize(docs: DataFrame, text: str = "text", out: str = "tokens", **options) -> DataFrame:
     return docs.withColumn(out, tokens_of(F.col(text), **options))
 
 
-def term_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, **options) -> DataFrame:
-    """Long form ``(doc_id, term, tf)``: a document sits in one row, so its terms combine before the shuffle."""
+def term_rows(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None,
+    min_length: int = 2, stop_words: list[str] | None = None,
+) -> DataFrame:
+    """Long form ``(doc_id, term, tf)``: a document sits in one row, so its terms combine before the shuffle.
+
+    Words are filtered after the explode, where the test is compiled code.
+    """
     kept = [doc_id, *(keep or [])]
-    rows = docs.select(*kept, F.explode(tokens_of(F.col(text), **options)).alias("term"))
-    return rows.groupBy(*kept, "term").agg(F.count("*").alias("tf"))
+    rows = docs.select(*kept, F.explode(_words(F.col(text))).alias("term"))
+    return rows.where(_kept(F.col("term"), min_length, stop_words)).groupBy(*kept, "term").agg(F.count("*").alias("tf"))
 
 
 def term_totals(terms: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from prismill.functions.rounding import settled, settled_sql
 from prismill.operators import ordering, profile, series
 from prismill.plans.registry import query, register_tables, table
+from prismill.session import cut_lineage
 from prismill.sources.catalog import run_read_only
 
 # Daily series used as the stand-in for weather (orders) and prices (line items).
@@ -438,7 +439,8 @@ def most_frequent_value(spark, folder):
 )
 def median_and_mad(spark, folder):
     rows = table(spark, folder, "lineitem").select("l_returnflag", "l_extendedprice")
-    medians = ordering.exact_quantiles(rows, "l_extendedprice", {"median": 0.5}, ["l_returnflag"])
+    # stored, because the second pass reads it several times
+    medians = cut_lineage(ordering.exact_quantiles(rows, "l_extendedprice", {"median": 0.5}, ["l_returnflag"]))
     away = rows.join(medians, "l_returnflag").select(
         "l_returnflag", F.abs(F.col("l_extendedprice") - F.col("median")).alias("away")
     )
