@@ -65,6 +65,11 @@ class RunLog:
         self._write(self.spark.createDataFrame([row], SCHEMA), "append")
         return run_id
 
+    def append(self, runs: DataFrame) -> None:
+        """Append many runs at once, for sweeps whose results are a table; one file set per experiment."""
+        columns = [f.split()[0] for f in SCHEMA.split(", ")]
+        self._write(runs.select(*columns).repartition("experiment", F.col("run_id").substr(-2, 2)), "append")
+
     def load_runs(self) -> DataFrame:
         """All runs, newest first."""
         files, path = self._files()

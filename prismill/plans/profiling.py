@@ -237,3 +237,46 @@ def inferred_task(spark, folder):
 )
 def suggested_targets(spark, folder):
     return profile.suggest_targets(table(spark, folder, "customer"))
+
+
+def scratch_folder(spark, name):
+    """A new folder next to the checkpoints, where all executors can write."""
+    import uuid
+
+    from prismill.session import checkpoint_folder
+
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "catalog_round_trip",
+    "C01 C02 C03 C04 C05 C07 C08 C09",
+    """
+    SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS balance, (SELECT count(*) FROM customer) AS stored_rows, 2 AS datasets
+    FROM customer GROUP BY c_mktsegment
+    """,
+)
+def catalog_round_trip(spark, folder):
+    """Save three datasets, delete one, then query another through the catalog."""
+    from prismill.sources.catalog import Catalog
+
+    catalog = Catalog(spark, scratch_folder(spark, "catalog"))
+    for name in ("customer", "nation", "region"):
+        catalog.save(f"stored_{name}", table(spark, folder, name), label=name, source="tables", domain="table", params={"folder": folder})
+    catalog.delete("stored_region")
+    facts = catalog.describe("stored_customer")
+    rows = catalog.query(
+        "SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM stored_customer GROUP BY c_mktsegment"
+    )
+    listed = catalog.list_datasets().agg(F.count("*").cast("int")).scalar()
+    return rows.withColumn("stored_rows", F.lit(facts["rows"]).cast("bigint")).withColumn("datasets", listed)
+
+
+@query("csv_export", "C16", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def csv_export(spark, folder):
+    """Write CSV and read it back."""
+    from prismill.sources.catalog import export_csv
+
+    nation, target = table(spark, folder, "nation"), scratch_folder(spark, "csv")
+    export_csv(nation, target)
+    return spark.read.schema(nation.schema).option("header", True).csv(target)

@@ -94,3 +94,19 @@ def run_history(spark, folder):
 @query("log_overview", "L10 A07", f"WITH {LOG} SELECT count(*) AS runs, count(DISTINCT experiment) AS experiments, count(DISTINCT lab) AS labs FROM lg")
 def log_overview(spark, folder):
     return R.overview(log(spark, folder))
+
+
+@query(
+    "logged_runs",
+    "L01 L02 L09 U01 U03",
+    f"WITH {LOG} SELECT experiment, count(*) AS runs, count(price) AS with_price FROM lg WHERE experiment <> 'trial-P' GROUP BY 1",
+)
+def logged_runs(spark, folder):
+    """Append all runs to a log, drop one experiment, read the rest back."""
+    from prismill.plans.profiling import scratch_folder
+
+    runs = R.RunLog(spark, scratch_folder(spark, "runs"))
+    runs.append(log(spark, folder))
+    runs.delete_experiment("trial-P")
+    price = F.nanvl(F.try_element_at("metrics", F.lit("price")), F.lit(None))
+    return runs.load_runs().groupBy("experiment").agg(F.count("*").alias("runs"), F.count(price).alias("with_price"))
