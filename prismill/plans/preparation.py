@@ -152,9 +152,6 @@ def stratified_folds(spark, folder):
     return splits.shuffled_folds(rows, "o_orderkey", 5, "o_orderpriority", seed=5)
 
 
-_LABELLED = "SELECT doc_id, quality FROM labels"
-
-
 @query(
     "contiguous_folds",
     "B12",
