@@ -48,38 +48,59 @@ def target_sizes(sources: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0),
 def pivot(size: np.ndarray, share: np.ndarray, luck: np.ndarray, last: bool) -> tuple[np.ndarray, int]:
     """Round shares of a copy to 0 or 1 while the words they stand for keep their sum.
 
-    The open row and the next exchange words: with the chances that keep both expectations, one gains what
-    the other loses until one of them is integral. The other stays open. Returns the rounded shares
-    and the place of the row left open (-1: none); with ``last`` that row is drawn by its share.
+    A row is paired with the open rows after it, and one coin, heads with the row's share, decides for all of its
+    pairs: the row is rounded up by the words they give, or down and they get its words. Neither way makes
+    a partner's share leave 0 to 1, and its expectation stays. Rows go from long to short, so what is
+    left at the end is short. Rows whose partners have too little room exchange words in pairs until one of the two
+    is integral. Returns the rounded shares and the place of the row left open (-1: none); with
+    ``last`` that row goes to the nearer side.
     """
-    out = share.copy()
     tiny = 1e-9
-    held = -1
-    for i in range(len(out)):
-        if size[i] <= 0:
-            out[i] = 0.0
+    out = np.where(size > 0, share, 0.0)
+    out = np.where(out <= tiny, 0.0, np.where(out >= 1 - tiny, 1.0, out)).tolist()
+    words, coin, n = size.tolist(), luck.tolist(), len(out)
+
+    def put(i: int, value: float) -> None:
+        out[i] = 0.0 if value <= tiny else 1.0 if value >= 1 - tiny else value
+
+    late = []
+    for i in range(n):
+        p = out[i]
+        if p in (0.0, 1.0):
             continue
-        if out[i] <= tiny or out[i] >= 1 - tiny:
-            out[i] = round(out[i])
+        partners, missing, j = [], words[i], i + 1
+        while missing > tiny and j < n:
+            q = out[j]
+            if q not in (0.0, 1.0):
+                room = min(words[j] * min(q / (1 - p), (1 - q) / p), missing)
+                partners.append((j, room))
+                missing -= room
+            j += 1
+        if missing > tiny:
+            late.append(i)
+            continue
+        up = coin[i] < p
+        for j, room in partners:
+            put(j, out[j] + (-(1 - p) if up else p) * room / words[j])
+        out[i] = 1.0 if up else 0.0
+    held = -1
+    for i in late:
+        if out[i] in (0.0, 1.0):
             continue
         if held < 0:
             held = i
             continue
-        a, b = size[held], size[i]
-        up = min((1 - out[held]) * a, out[i] * b)  # words from i to the open row
+        a, b = words[held], words[i]
+        up = min((1 - out[held]) * a, out[i] * b)
         down = min(out[held] * a, (1 - out[i]) * b)
-        words = up if luck[i] * (up + down) < down else -down
-        out[held] += words / a
-        out[i] -= words / b
-        for j in (held, i):
-            if out[j] <= tiny or out[j] >= 1 - tiny:
-                out[j] = round(out[j])
-        whole_held, whole_i = out[held] in (0.0, 1.0), out[i] in (0.0, 1.0)
-        held = -1 if whole_held and whole_i else i if whole_held else held
+        move = up if coin[i] * (up + down) < down else -down
+        put(held, out[held] + move / a)
+        put(i, out[i] - move / b)
+        if out[held] in (0.0, 1.0):
+            held = -1 if out[i] in (0.0, 1.0) else i
     if held >= 0 and last:
-        out[held] = 1.0 if luck[held] < out[held] else 0.0
-        held = -1
-    return out, held
+        out[held], held = (1.0 if out[held] >= 0.5 else 0.0), -1
+    return np.array(out), held
 
 
 def _settle(last: bool):
@@ -102,8 +123,8 @@ def mix_sources(
     source. A source's target over its size is the number of copies of each of its articles: the whole
     part is taken outright, the fraction is rounded by pivotal sampling over words. Segments of a
     source (by a hash of the key) settle all but one article each, the open ones meet in the next level of a
-    reduction tree, and the last one of a source is drawn. So a source misses its target by less than
-    one, mostly short, article.
+    reduction tree, and the last one of a source goes to the nearer side. So a source misses its target by less than
+    half of one, mostly short, article.
 
     Returns one row per article: the key, ``size`` (words between ASCII white space), ``source_size``, ``target``
     (its source's), ``copies`` (0 to ``repeats``) and ``taken`` (copies * size). The draws are hashes of key, size and ``seed``,
