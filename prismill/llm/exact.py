@@ -67,7 +67,8 @@ def exact_copies(articles: DataFrame, key: str = "URL", text: str = "要約") ->
         )
     )
     order = F.struct((-F.col("n_chars")).alias("a"), F.col("id").isNull().alias("b"), F.col("id").alias("c"), F.col("row").alias("d"))
-    groups = recipes.groupBy("recipe", "proof").agg(F.count("*").alias("group_size"), F.min(order).alias("best"))
+    # stored, so that the join reads two plain exchanges and a crowded group's partition can be split
+    groups = cut_lineage(recipes.groupBy("recipe", "proof").agg(F.count("*").alias("group_size"), F.min(order).alias("best")))
     return recipes.join(groups, ["recipe", "proof"]).select(
         F.col("id").alias(key), F.col("best.c").alias("keep_id"), "group_size",
         (F.col("row") == F.col("best.d")).alias("kept"), "text_sha256", "n_chars",

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +23,7 @@ _LEVEL_BIT, _TASK_BIT = 56, 36  # a bin's name: level, task, number in the task
 _MEMO = 400_000  # words whose ids a task remembers
 
 
-class WordIds:
+class WordIds(dict):
     """Token ids of whole texts, as little-endian 32-bit bytes.
 
     The byte-pair vocabulary splits at a space between two other characters whatever stands around, so
@@ -29,20 +32,18 @@ class WordIds:
     """
 
     def __init__(self, vocabulary: str):
-        import json
-
         import public_tokenizers
         import regex
         import tiktoken
 
+        super().__init__()
         with open(vocabulary, encoding="utf-8") as file:
             special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
         with open(vocabulary.removesuffix(".json") + ".tiktoken", "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self._coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self._clean = regex.compile(r"(?<=\S) (?=\S)")
-        self._odd = regex.compile(r"(?:^|\s)\s|\s$|[^\S ]")
-        self._memo: dict[str, bytes] = {}
+        self._rare = re.compile(r"[^\S \n]")
 
     def _bytes(self, text: str) -> bytes:
         return self._coder.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
@@ -50,22 +51,29 @@ class WordIds:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        words = self._clean.split(text) if self._odd.search(text) else text.split(" ")
-        memo = self._memo
-        out = [self._bytes(words[0])]
-        for word in words[1:]:
-            ids = memo.get(word)
-            if ids is None:
-                if len(memo) >= _MEMO:
-                    memo.clear()
-                ids = memo[word] = self._bytes(" " + word)
-            out.append(ids)
-        return b"".join(out)
+        # a space between two other characters is a boundary; beside other white space it is not
+        beside = "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or self._rare.search(text)
+        words = self._clean.split(text) if beside else text.split(" ")
+        return self._bytes(words[0]) + b"".join(map(self.__getitem__, words[1:]))
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self._bytes(" " + word)
+        if "\n" not in word:  # two words around a line break seldom come again
+            if len(self) >= _MEMO:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
+@lru_cache(maxsize=1)
+def word_ids(vocabulary: str) -> WordIds:
+    """One coder per worker process, shared by its tasks."""
+    return WordIds(vocabulary)
 
 
 def _cut(vocabulary: str, length: int, end: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(vocabulary)
+        ids_of = word_ids(vocabulary)
         tail = np.array([end], "<u4").tobytes()
         for batch in batches:
             rows, piece, start, size, crc = [], [], [], [], []

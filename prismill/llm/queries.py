@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismill.llm import exact, mixing, packing, simhash, toxicity
+from prismill.llm import crossentropy, exact, minhash, mixing, packing, simhash, template, tokencounts, toxicity, urlfilter
+from prismill.llm.urlfilter import Rule
 from prismill.plans.registry import query, table
 
 ID = {"key": "doc_id", "text": "text"}
 THRESHOLD = 0.7
+RULES = [
+    Rule("allow", "com"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"),
+    Rule("block", "net", "/es/"), Rule("block", "net", "/fr/"),
+]
 
 
 def vocabulary(name: str) -> str:
@@ -69,3 +74,38 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in sequences of 2048 tokens."""
     return packing.pack_articles(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), **ID)
+
+
+@query("op4_url_filter", covers="")
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's address."""
+    pages = table(spark, sf_dir, "pages")
+    links = urlfilter.page_links(pages, url="url", html="html")
+    return urlfilter.judge_urls(pages, RULES, links, key="page_id", url="url")
+
+
+@query("op6_cross_entropy_difference", covers="")
+def op6_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss per word under the model of good documents less that under the model of all."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("_good")).distinct()
+    documents = table(spark, sf_dir, "documents")
+    marked = documents.join(good, F.col("doc_id") == F.col("_good"), "left").withColumn("good", F.col("_good").isNotNull())
+    return crossentropy.cross_entropy_difference(marked, "good", **ID)
+
+
+@query("op7_token_counts", covers="")
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return tokencounts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), **ID)
+
+
+@query("op9_page_text", covers="")
+def op9_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return template.extract_articles(table(spark, sf_dir, "pages"), key="page_id", url="url", markup="html")
+
+
+@query("op10_minhash_fingerprints", covers="")
+def op10_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return minhash.fingerprints_of_edits(table(spark, sf_dir, "documents"), **ID)

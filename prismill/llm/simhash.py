@@ -232,7 +232,8 @@ def near_copies(articles: DataFrame, key: str = "URL", text: str = "要約", rad
     joined = groups.join(points, groups["node"] == points["print"]).select("node", "label", "least")
     smallest = joined.groupBy("label").agg(F.min("least").alias("smallest"))
     homes = joined.join(smallest, "label").select(F.col("node").alias("print"), "smallest")
-    homes = points.join(homes, "print", "left").select("print", F.coalesce("smallest", "least").alias("component_id"))
+    # stored, so that the join reads two plain exchanges and a crowded fingerprint's partition can be split
+    homes = cut_lineage(points.join(homes, "print", "left").select("print", F.coalesce("smallest", "least").alias("component_id")))
     return marked.join(homes, "print").select(
         F.col("id").alias(key), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id"
     )
