@@ -227,9 +227,9 @@ def count_tokens(articles: DataFrame, vocabulary: str, key: str = "URL", text: s
         F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((length - 1) / chunk)).cast("int")),
         lambda i: F.struct(i.alias("place"), F.lit(False).alias("alone"), F.substring("text", i * chunk + 1, F.lit(chunk)).alias("chunk")),
     )
-    pieces = rows.select(
-        F.monotonically_increasing_id().alias("row"), "id", F.octet_length("text").cast("long").alias("n_bytes"),
-        F.inline(F.when(length <= chunk, short).otherwise(cut)),
+    # numbered before they are cut: the chunks of a row share its number
+    pieces = rows.withColumn("row", F.monotonically_increasing_id()).select(
+        "row", "id", F.octet_length("text").cast("long").alias("n_bytes"), F.inline(F.when(length <= chunk, short).otherwise(cut))
     )
     maps = pieces.mapInArrow(
         _summaries(vocabulary), f"row long, id {kind}, n_bytes long, place int, head string, n long, tail string"

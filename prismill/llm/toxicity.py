@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismill.llm.common import filled, narrow
+from prismill.session import cut_lineage
 
 WORDS = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5)  # lengths of the word starts that are features beside the word
@@ -47,43 +48,53 @@ def _features(words: set[str]) -> set[tuple[int, str]]:
 
 
 def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Articles per feature and label in this task: the map side of the count."""
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
-    total = [0, 0]
+    """Articles per feature, part and label in this task: the map side of the count."""
+    counts = [Counter() for _ in range(4)]
+    total = [0] * 4
 
     def flush() -> pa.RecordBatch:
-        keys = list(counts[0].keys() | counts[1].keys())
-        rows = [*((k, w, counts[0][k, w], counts[1][k, w]) for k, w in keys), (-1, "", *total)]
+        keys = list(set().union(*counts))
+        rows = [*((k, w, *[c[k, w] for c in counts]) for k, w in keys), (-1, "", *total)]
         for c in counts:
             c.clear()
-        total[:] = [0, 0]
-        names = ["kind", "feature", "clean", "toxic"]
-        types = [pa.int32(), pa.string(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=names)
+        total[:] = [0] * 4
+        types = [pa.int32(), pa.string(), *[pa.int64()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=["kind", "feature", *_COUNTS])
 
     for batch in batches:
-        for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
-            counts[label].update(_features(set(WORDS.findall(text.as_py().lower()))))
-            total[label] += 1
-        if len(counts[0]) + len(counts[1]) > 1_000_000:
+        for text, cell in zip(batch.column(0), batch.column(1).to_pylist()):
+            counts[cell].update(_features(set(WORDS.findall(text.as_py().lower()))))
+            total[cell] += 1
+        if sum(map(len, counts)) > 1_000_000:
             yield flush()
     yield flush()
 
 
-def _evidence(labelled: DataFrame, least: int, ratio: float) -> tuple[dict, dict, list[int]]:
-    """Features that at least ``least`` toxic articles and ``ratio`` times as large a share of them as of clean ones have.
+_COUNTS = ["clean_0", "toxic_0", "clean_1", "toxic_1"]  # part 1 fits the field and the score
 
-    All labelled rows are counted. At most toxic rows * words / ``least`` features pass; words that occur this
-    unevenly are the lexicon of the offence, which does not grow with the table.
+
+def _evidence(labelled: DataFrame, least: int, ratio: float) -> tuple[list[tuple[dict, dict]], list[int]]:
+    """Words and word starts that at least ``least`` toxic articles and ``ratio`` times as large a share of them as of clean ones have.
+
+    First by the rows of part 0, to fit with, then by all. At most toxic rows * words / ``least`` features pass; words that occur
+    this unevenly are the lexicon of the offence, which does not grow with the table.
     """
-    counts = labelled.select("text", "label").mapInArrow(_count_features, "kind int, feature string, clean long, toxic long")
-    counts = counts.groupBy("kind", "feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).persist()
-    totals = counts.where("kind = -1").first()
-    n0, n1 = (totals["clean"], totals["toxic"]) if totals else (0, 0)
-    odds = F.log((F.col("toxic") + 0.5) / F.lit(n1 + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(n0 + 1.0))
-    rows = counts.where((F.col("kind") >= 0) & (F.col("toxic") >= least)).withColumn("odds", odds).where(F.col("odds") > math.log(ratio)).collect()
-    counts.unpersist()
-    return {r["feature"]: r["odds"] for r in rows if r["kind"] == 0}, {r["feature"]: r["odds"] for r in rows if r["kind"] > 0}, [n0, n1]
+    cell = (2 * F.col("part") + F.col("label")).cast("int").alias("cell")
+    names = ", ".join(f"{c} long" for c in _COUNTS)
+    counts = labelled.select("text", cell).mapInArrow(_count_features, f"kind int, feature string, {names}")
+    counts = counts.groupBy("kind", "feature").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+    rows = counts.where((F.col("kind") < 0) | (F.col("toxic_0") + F.col("toxic_1") >= least))
+    counts = cut_lineage(rows)
+    row = counts.where("kind = -1").first()
+    c0, t0, c1, t1 = [row[c] for c in _COUNTS] if row else [0] * 4
+    out = []
+    for clean, toxic, n0, n1 in (
+        (F.col("clean_0"), F.col("toxic_0"), c0, t0), (F.col("clean_0") + F.col("clean_1"), F.col("toxic_0") + F.col("toxic_1"), c0 + c1, t0 + t1)
+    ):
+        odds = F.log((toxic + 0.5) / F.lit(n1 + 1.0)) - F.log((clean + 0.5) / F.lit(n0 + 1.0))
+        found = counts.where((F.col("kind") >= 0) & (toxic >= least)).select("kind", "feature", odds.alias("odds")).where(F.col("odds") > math.log(ratio)).collect()
+        out.append(({r["feature"]: r["odds"] for r in found if r["kind"] == 0}, {r["feature"]: r["odds"] for r in found if r["kind"] > 0}))
+    return out, [c0 + c1, t0 + t1]
 
 
 # --- the chain ----------------------------------------------------------------------
@@ -222,6 +233,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
     return w
 
 
+def _best_cut(z: np.ndarray, y: np.ndarray, clean_weight: float) -> float:
+    """The value of ``z`` from which calling a text toxic gives the best F1; a clean text counts ``clean_weight`` times."""
+    order = np.argsort(-z, kind="stable")
+    hit, false = np.cumsum(y[order]), np.cumsum((1 - y[order]) * clean_weight)
+    last = np.append(np.diff(z[order]) != 0, True)  # ties stand together
+    f1 = np.where(last, 2 * hit / (hit + false + y.sum()), 0.0)
+    best = int(np.argmax(f1))
+    below = z[order][best + 1] if best + 1 < len(z) else z[order][best] - 1.0
+    return float((z[order][best] + below) / 2)
+
+
 def summary(marginals: np.ndarray, n: int) -> list[float]:
     """What the score of a text sees: expected toxic words, and the log odds of the likeliest one."""
     if not len(marginals):
@@ -232,25 +254,29 @@ def summary(marginals: np.ndarray, n: int) -> list[float]:
 
 def fit_field(
     articles: DataFrame, toxic: str | Column, text: str = "要約", key: str = "URL", least: int = 5, ratio: float = 20.0, fit_rows: int = FIT_ROWS,
+    threshold: float = 0.7,
 ) -> Field:
     """Fit the field to articles with a 0/1 column ``toxic``; other labels are left out.
 
     Words and word starts that are ``ratio`` times as frequent in toxic articles are counted over all labelled
     rows. They label the tokens: a token of a toxic article is toxic where the evidence for its word or start is
-    strong and that start hardly occurs in clean articles. Chain and score are fitted on at most ``fit_rows``
-    articles (half of each label as far as there are), those with the smallest hash of the key. Without both labels the
-    field scores everything alike, below one half.
+    strong and that start hardly occurs in clean articles. Chain and score are fitted on a third of the rows, with
+    the evidence of the others only, so that they see words as a new text shows them; at most ``fit_rows``
+    articles (half of each label as far as there are), those with the smallest hash of the key, and scored so that the cut
+    with the best F1 among them is at ``threshold``. Without both labels the field scores everything alike, below one half.
     """
     label = F.col(toxic) if isinstance(toxic, str) else toxic
     labelled = articles.select(F.col(f"`{key}`").alias("id"), filled(F.col(f"`{text}`")).alias("text"), label.cast("int").alias("label")).where("label in (0, 1)")
-    words, stems, (n0, n1) = _evidence(labelled, least, ratio)
-    model = Field(words, stems)
-    if not n0 or not n1 or not (words or stems):
-        return model
+    # equal texts fall into one part
+    labelled = labelled.withColumn("part", F.when(F.pmod(F.xxhash64("text"), F.lit(3)) == 0, F.lit(1)).otherwise(F.lit(0)))
+    (first, whole), (n0, n1) = _evidence(labelled, least, ratio)
+    model, final = Field(*first), Field(*whole)
+    if not n0 or not n1 or not any(first):
+        return final
     luck = F.xxhash64("id", "text")
     sample = []
     for value in (0, 1):
-        one = labelled.where(F.col("label") == value).select("id", "text", luck.alias("luck"))
+        one = labelled.where((F.col("label") == value) & (F.col("part") == 1)).select("id", "text", luck.alias("luck"))
         # only the ids compete; the texts of the chosen follow
         chosen = one.select("luck").orderBy("luck").limit(fit_rows // 2)
         rows = one.join(F.broadcast(chosen), "luck").mapInArrow(_sequences(model), "places array<int>, features array<double>, n int")
@@ -277,7 +303,12 @@ def fit_field(
     seen = np.array([summary(chain.run(p, v, n) if p else np.zeros(0), n) for _, p, v, n in sample])
     truth = np.array([value for value, *_ in sample], float)
     model.score = _logistic(seen, truth)
-    return model
+    # the sample has more toxic articles than the table: move the best cut to the threshold
+    sampled = max(truth.sum(), 1.0), max(len(truth) - truth.sum(), 1.0)
+    cut = _best_cut(model.score[0] + seen @ model.score[1:], truth, (n0 / sampled[1]) / (n1 / sampled[0]))
+    model.score[0] += math.log(threshold / (1 - threshold)) - cut
+    final.weights, final.transitions, final.score = model.weights, model.transitions, model.score
+    return final
 
 
 def _sequences(model: Field) -> Callable:
