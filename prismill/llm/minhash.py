@@ -114,20 +114,29 @@ def fingerprints_of_edits(articles: DataFrame, key: str = "URL", text: str = "
     """
     rows = narrow(articles, id=key, text=text)
     whole = filled("text")
-    name = F.sha2(F.concat(F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit("")), F.lit("\n"), whole).cast("binary"), 256)
+    name = F.unhex(F.sha2(F.concat(F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit("")), F.lit("\n"), whole).cast("binary"), 256))
     named = rows.select("id", whole.alias("text"), name.alias("name"))
     known = cut_lineage(with_sketch(named.withColumn("n", F.length("text").cast("long")), "text", "sketch").drop("text"))
-    placed = cut_lineage(numbered(known.dropDuplicates(["name"]), F.col("id").desc_nulls_last(), F.col("name")))
+    # the order needs neither texts nor sketches
+    placed = cut_lineage(numbered(known.select("id", "name", "n").distinct(), F.col("id").desc_nulls_last(), F.col("name")))
     n = placed.count()
-    after = placed.select(F.col("name").alias("donor"), F.col("sketch").alias("donor_sketch"), F.pmod(F.col("position") - 1, F.lit(max(n, 1))).alias("position"))
-    pairs = placed.join(after, "position").select("id", "name", "n", "sketch", "donor", "donor_sketch", F.floor(F.col("n") / 3).alias("need"))
-
-    texts = named.select("name", "text")
-    giving = texts.withColumnRenamed("name", "donor").join(pairs, "donor").withColumn("start", F.expr("substring(text, 1, cast(need as int))")).drop("text", "donor")
-    if known.count() > n:  # repeated rows give alike: one is enough
-        giving = giving.dropDuplicates(["name"])
-    edited = texts.join(giving, "name").withColumn("edited", F.expr("concat(substring(text, 1, cast(n - need as int)), start)"))
-    edited = with_sketch(edited.drop("text", "start", "name", "need"), "edited", "edited_sketch")
+    after = placed.select(F.col("name").alias("donor"), F.pmod(F.col("position") - 1, F.lit(max(n, 1))).alias("position"))
+    pairs = placed.join(after, "position").select("id", F.col("name").alias("to"), "n", "donor", F.floor(F.col("n") / 3).alias("need"))
+
+    # texts and sketches are dealt by name once, for giving and for taking
+    texts, sketches = named.select("name", "text"), known.select("name", "sketch")
+    repeated = known.count() > n
+    if repeated:  # rows of one name are alike
+        sketches = sketches.dropDuplicates(["name"])
+    giving = texts.join(pairs, texts["name"] == pairs["donor"]).join(sketches, "name").select(
+        "id", "to", "n", F.expr("substring(text, 1, cast(need as int))").alias("start"), F.col("sketch").alias("donor_sketch")
+    )
+    if repeated:
+        giving = giving.dropDuplicates(["to"])
+    taking = texts.join(giving, texts["name"] == giving["to"]).join(sketches, "name").select(
+        "id", "n", "sketch", "donor_sketch", F.expr("concat(substring(text, 1, cast(n - floor(n / 3) as int)), start)").alias("edited")
+    )
+    edited = with_sketch(taking, "edited", "edited_sketch")
     return edited.select(
         F.col("id").alias(key), F.col("n").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         sketch_text(F.col("sketch")).alias("fingerprint"), sketch_text(F.col("edited_sketch")).alias("edited_fingerprint"),
