@@ -57,9 +57,8 @@ def held_out(doc_id: str = "doc_id"):
 
 def toxicity_model(spark: SparkSession, documents: DataFrame, sf_dir: str) -> toxicity.Field:
     """The field fitted to labelled rows that are not held out."""
-    labels = table(spark, sf_dir, "labels").where(~held_out()).select(F.col("doc_id").alias("_labelled"), "toxic")
-    learn = documents.select("doc_id", "text").join(labels, F.col("doc_id") == F.col("_labelled"))
-    return toxicity.fit_field(learn, "toxic", **ID)
+    labels = table(spark, sf_dir, "labels").where(~held_out()).select("doc_id", "toxic")
+    return toxicity.fit_field(documents, labels, "toxic", **ID)
 
 
 @query("op5_toxicity", covers="")

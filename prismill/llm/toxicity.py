@@ -19,7 +19,8 @@ from prismill.session import cut_lineage
 
 WORDS = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5)  # lengths of the word starts that are features beside the word
-FIT_ROWS = 6000  # labelled articles, at most, whose tokens fit the field and the score
+LABEL_ROWS = 40_000  # labelled articles, at most, that are learnt from
+FIT_ROWS = 6000  # those of them, at most, whose tokens fit the chain and the score
 
 
 @dataclass
@@ -252,21 +253,33 @@ def summary(marginals: np.ndarray, n: int) -> list[float]:
     return [math.log1p(float(marginals.sum())), max(-8.0, math.log(most / (1 - most)))]
 
 
+def labelled_articles(articles: DataFrame, labels: DataFrame, toxic: str, key: str, text: str, label_rows: int) -> tuple[DataFrame, list[int]]:
+    """Texts of at most ``label_rows`` labelled articles, half of each label as far as there are, and the counts of all labels.
+
+    Only keys and labels compete (those with the smallest hash win); the winners, a bounded set, are sent to where the
+    texts are, so no text is moved.
+    """
+    known = labels.select(labels[f"`{key}`"].alias("name"), labels[f"`{toxic}`"].cast("int").alias("label")).where("label in (0, 1) and name is not null")
+    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    halves = [known.where(F.col("label") == v).orderBy(F.xxhash64("name"), "name").limit(label_rows // 2) for v in (0, 1)]
+    chosen = F.broadcast(halves[0].union(halves[1]).distinct())
+    rows = articles.select(articles[f"`{key}`"].alias("id"), filled(articles[f"`{text}`"]).alias("text"))
+    return cut_lineage(rows.join(chosen, F.col("id") == F.col("name")).select("id", "text", "label")), [counts.get(v, 0) for v in (0, 1)]
+
+
 def fit_field(
-    articles: DataFrame, toxic: str | Column, text: str = "要約", key: str = "URL", least: int = 5, ratio: float = 20.0, fit_rows: int = FIT_ROWS,
-    threshold: float = 0.7,
+    articles: DataFrame, labels: DataFrame, toxic: str = "toxic", text: str = "要約", key: str = "URL", least: int = 5, ratio: float = 20.0,
+    label_rows: int = LABEL_ROWS, fit_rows: int = FIT_ROWS, threshold: float = 0.7,
 ) -> Field:
-    """Fit the field to articles with a 0/1 column ``toxic``; other labels are left out.
-
-    Words and word starts that are ``ratio`` times as frequent in toxic articles are counted over all labelled
-    rows. They label the tokens: a token of a toxic article is toxic where the evidence for its word or start is
-    strong and that start hardly occurs in clean articles. Chain and score are fitted on a third of the rows, with
-    the evidence of the others only, so that they see words as a new text shows them; at most ``fit_rows``
-    articles (half of each label as far as there are), those with the smallest hash of the key, and scored so that the cut
-    with the best F1 among them is at ``threshold``. Without both labels the field scores everything alike, below one half.
+    """Fit the field to articles whose keys ``labels`` has with a 0/1 column ``toxic``; other labels are left out.
+
+    At most ``label_rows`` labelled articles are learnt from. Words and word starts that are ``ratio`` times as frequent in
+    toxic ones are counted; they label the tokens: a token of a toxic article is toxic where the evidence for its word or
+    start is strong. Chain and score are fitted on a third of the rows, at most ``fit_rows``, with the evidence of the others only,
+    so that they see words as a new text shows them; the cut with the best F1 among them is at ``threshold``. Without
+    both labels the field scores everything alike, below one half.
     """
-    label = F.col(toxic) if isinstance(toxic, str) else toxic
-    labelled = articles.select(F.col(f"`{key}`").alias("id"), filled(F.col(f"`{text}`")).alias("text"), label.cast("int").alias("label")).where("label in (0, 1)")
+    labelled, (all0, all1) = labelled_articles(articles, labels, toxic, key, text, label_rows)
     # equal texts fall into one part
     labelled = labelled.withColumn("part", F.when(F.pmod(F.xxhash64("text"), F.lit(3)) == 0, F.lit(1)).otherwise(F.lit(0)))
     (first, whole), (n0, n1) = _evidence(labelled, least, ratio)
@@ -277,9 +290,7 @@ def fit_field(
     sample = []
     for value in (0, 1):
         one = labelled.where((F.col("label") == value) & (F.col("part") == 1)).select("id", "text", luck.alias("luck"))
-        # only the ids compete; the texts of the chosen follow
-        chosen = one.select("luck").orderBy("luck").limit(fit_rows // 2)
-        rows = one.join(F.broadcast(chosen), "luck").mapInArrow(_sequences(model), "places array<int>, features array<double>, n int")
+        rows = one.orderBy("luck", "id").limit(fit_rows // 2).mapInArrow(_sequences(model), "places array<int>, features array<double>, n int")
         sample += [(value, r["places"], np.array(r["features"]).reshape(-1, 2 + len(STEMS)), r["n"]) for r in rows.collect()]
     texts = []
     strong = math.log(ratio)
@@ -305,7 +316,7 @@ def fit_field(
     model.score = _logistic(seen, truth)
     # the sample has more toxic articles than the table: move the best cut to the threshold
     sampled = max(truth.sum(), 1.0), max(len(truth) - truth.sum(), 1.0)
-    cut = _best_cut(model.score[0] + seen @ model.score[1:], truth, (n0 / sampled[1]) / (n1 / sampled[0]))
+    cut = _best_cut(model.score[0] + seen @ model.score[1:], truth, (all0 / sampled[1]) / (all1 / sampled[0]))
     model.score[0] += math.log(threshold / (1 - threshold)) - cut
     final.weights, final.transitions, final.score = model.weights, model.transitions, model.score
     return final

@@ -52,7 +52,7 @@ def _labelled(n=300):
 def test_field_finds_toxic_words_it_has_not_seen(spark):
     rows = _labelled()
     df = spark.createDataFrame(rows, "URL string, `要約` string, toxic int")
-    model = toxicity.fit_field(df.where("hash(URL) % 3 <> 1"), "toxic", least=3)
+    model = toxicity.fit_field(df, df.where("hash(URL) % 3 <> 1"), least=3)
     scored = {r["URL"]: r for r in toxicity.score_toxicity(df, model).collect()}
     assert all((scored[u]["predicted"] == 1) == bool(y) for u, _, y in rows)
     text = "wo1rd vileheit wo2rd wo3rd vileung wo4rd"  # a new word with a known start
@@ -65,7 +65,7 @@ def test_field_finds_toxic_words_it_has_not_seen(spark):
 
 
 def test_toxicity_of_awkward_rows(spark):
-    for model in (toxicity.Field(), toxicity.fit_field(articles(spark, []).selectExpr("*", "1 AS toxic"), "toxic")):
+    for model in (toxicity.Field(), toxicity.fit_field(articles(spark, AWKWARD), articles(spark, []).selectExpr("*", "1 AS toxic"))):
         rows = collected(toxicity.score_toxicity(articles(spark, AWKWARD), model))
         assert len(rows) == len(AWKWARD)
         assert all(0 <= r["score"] < 0.5 and r["predicted"] == 0 and r["spans"] == [] for r in rows)
