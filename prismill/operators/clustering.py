@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -51,62 +50,33 @@ def start_centers(df: DataFrame, columns: list[str], k: int, how: str, row_id: s
     return centers
 
 
-@dataclass
-class KMeansStep:
-    """One iteration: centers before the move, after it, inertia before the move, total move."""
-
-    iteration: int
-    centers: list[list[float]]
-    moved: list[list[float]]
-    sizes: list[int]
-    inertia: float
-    shift: float
-
-
-def kmeans_history(
+def kmeans_rounds(
     df: DataFrame, columns: list[str], k: int, row_id: str, init: str = "k-means++", seed: int = 0,
     max_iter: int = 30, tol: float = 1e-6, start: list[list[float]] | None = None,
-) -> list[KMeansStep]:
-    """Lloyd iterations with every step kept.
+) -> DataFrame:
+    """Lloyd rounds as a table: per round and cluster its rows, its center before and after, and the round's inertia and shift.
 
-    The state between steps is k centers; each step is one aggregate over the input, so there is no
-    lineage to cut. An empty cluster takes the point farthest from its center.
+    The state between rounds is k centers; a round is one aggregate over the input, so there is no lineage to cut. The
+    aggregate also finds each cluster's farthest row, so an empty cluster gets its new center (the row farthest
+    from any) without another pass. Rounds end once the centers move by less than ``tol`` together.
     """
-    centers = start or start_centers(df, columns, k, init, row_id, seed)
-    history = []
-    for i in range(max_iter):
-        placed = assign(df, columns, centers)
-        rows = placed.groupBy("cluster").agg(
-            F.count("*").alias("n"), F.sum("distance2").alias("inertia"), *[F.avg(c).alias(c) for c in columns]
+    at = np.array(start or start_centers(df, columns, k, init, row_id, seed), dtype=float)
+    farthest = F.max(F.struct("distance2", -F.col(row_id), F.array(*[F.col(c).cast("double") for c in columns]).alias("p")))
+    rows = []
+    for number in range(1, max_iter + 1):
+        seen = assign(df, columns, at.tolist()).groupBy("cluster").agg(
+            F.count("*").alias("n"), F.sum("distance2").alias("spread"), F.array(*[F.avg(c) for c in columns]).alias("mean"), farthest.alias("far")
         ).collect()
-        found = {r["cluster"]: r for r in rows}
-        far: list[float] | None = None
-        moved, sizes = [], []
-        for c in range(len(centers)):
-            if c in found:
-                moved.append([float(found[c][name]) for name in columns])
-                sizes.append(int(found[c]["n"]))
-                continue
-            if far is None:
-                best = placed.agg(F.max_by(F.struct(*columns), F.struct("distance2", -F.col(row_id))).alias("b")).first()["b"]
-                far = [float(v) for v in best]
-            moved.append(far)
-            sizes.append(0)
-        inertia = float(sum(r["inertia"] for r in rows))
-        shift = float(np.linalg.norm(np.array(moved) - np.array(centers), axis=1).sum())
-        history.append(KMeansStep(i + 1, centers, moved, sizes, inertia, shift))
-        centers = moved
+        to = np.tile(np.array(max(r["far"] for r in seen)["p"]), (len(at), 1))
+        n = np.zeros(len(at), dtype=int)
+        for r in seen:
+            to[r["cluster"]], n[r["cluster"]] = r["mean"], r["n"]
+        shift = float(np.sqrt(((to - at) ** 2).sum(axis=1)).sum())
+        inertia = float(sum(r["spread"] for r in seen))
+        rows += [(number, c, int(n[c]), *a, *b, inertia, shift) for c, (a, b) in enumerate(zip(at.tolist(), to.tolist()))]
+        at = to
         if shift < tol:
             break
-    return history
-
-
-def history_table(df: DataFrame, history: list[KMeansStep], columns: list[str]) -> DataFrame:
-    """One row per iteration and cluster."""
-    rows = [
-        (s.iteration, c, s.sizes[c], *s.centers[c], *s.moved[c], s.inertia, s.shift)
-        for s in history for c in range(len(s.centers))
-    ]
     fields = "iteration int, cluster int, n bigint, " + ", ".join(f"{p}_{c} double" for p in ("from", "to") for c in columns)
     return df.sparkSession.createDataFrame(rows, fields + ", inertia double, shift double")
 

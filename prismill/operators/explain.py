@@ -73,10 +73,10 @@ def model_importance(model: models.TabularModel, spark) -> DataFrame | None:
 
 
 def contributions(
-    model: models.TabularModel, df: DataFrame, row_id: str, max_samples: int = 400, permutations: int = 20,
+    model: models.TabularModel, df: DataFrame, row_id: str, max_samples: int | None = None, permutations: int = 20,
     background: int = 100, class_index: int = 1, seed: int = 0,
 ) -> DataFrame:
-    """Sampled Shapley values (Strumbelj & Kononenko 2014) of a sample of rows.
+    """Sampled Shapley values (Strumbelj & Kononenko 2014) of all rows, or of a sample of ``max_samples``.
 
     A walk starts at a background row and takes over the explained row's features one by one in random order;
     a feature's share is the change it causes, averaged over walks. Shares of a walk add up to the
@@ -87,7 +87,7 @@ def contributions(
     width = len(names)
     ready = model.prep.transform(df)
     arrays = ready.select(F.col(row_id).cast("bigint").alias("row"), vector_to_array("features").alias("x"))
-    sample = sample_rows(arrays, max_samples, "row", seed)
+    sample = arrays if max_samples is None else sample_rows(arrays, max_samples, "row", seed)
     # at most ``background`` rows, numbered by their place in a sorted array
     pool = sample_rows(arrays, background, "row", seed + 1).agg(F.collect_list("x").alias("pool"))
     walks = sample.withColumn("_pool", pool.scalar()).withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))

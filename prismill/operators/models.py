@@ -49,15 +49,6 @@ def training_facts(train: DataFrame, task: str) -> TrainingFacts:
     return TrainingFacts(int(row["n"]), int(row["k"]), float(row["s"] or 1.0))
 
 
-# Rows per partition below which an iteration costs more in scheduling than in work.
-SMALL_PARTITION = 20_000
-
-
-def compact(df: DataFrame, facts: TrainingFacts) -> DataFrame:
-    """Fewer partitions for a small training set; iterative fits run a job per step. Large ones stay as they are."""
-    return df.coalesce(max(1, -(-facts.rows // SMALL_PARTITION)))
-
-
 def _one_vs_rest(estimator: Estimator, facts: TrainingFacts) -> Estimator:
     return estimator if facts.classes <= 2 else MC.OneVsRest(classifier=estimator, parallelism=4)
 
@@ -247,7 +238,7 @@ def fit_classifier(key: str, train: DataFrame, numeric: list[str], params: dict[
     ready = prep.transform(train)
     settings = {**spec.defaults, **(params or {})}
     facts = training_facts(ready, CLASSIFICATION)
-    model = spec.build(facts, seed=seed, **settings).fit(compact(ready, facts))
+    model = spec.build(facts, seed=seed, **settings).fit(ready)
     return TabularModel(prep, model, CLASSIFICATION, [])
 
 
@@ -313,7 +304,7 @@ class TabularPipeline(Estimator):
             return _Constant(ready.agg(F.avg("label")).first()[0], 0)
         build = TABULAR[self.key][1 if self.task == CLASSIFICATION else 2]
         facts = training_facts(ready, self.task)
-        return build(facts, self.seed, **self.options).fit(compact(ready, facts))
+        return build(facts, self.seed, **self.options).fit(ready)
 
 
 def with_label(df: DataFrame, target: str, labels: list[str]) -> DataFrame:

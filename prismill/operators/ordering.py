@@ -20,21 +20,21 @@ RANGE = "_range"
 
 def _range_count(df: DataFrame) -> int:
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(16, min(1024, 2 * partitions))
+    return max(16, 2 * partitions)
 
 
-def with_ranges(df: DataFrame, order: list[str], ranges: int | None = None) -> DataFrame:
+def with_ranges(df: DataFrame, order: list[str], ranges: int | None = None, keys: list[str] | None = None) -> DataFrame:
     """Add the number of the order range a row falls in.
 
-    The cut points are the order keys with the smallest hashes: a uniform sample of at most
-    ``ranges - 1`` keys, so the array the subquery returns has a fixed size. A row finds its range
-    by binary search.
+    The cut points are the order values of the ``ranges - 1`` rows with the smallest hashes of key and value: values that
+    many keys share are sampled as often as their rows are, and the cuts follow the keys with most rows. Ranges grow with the session's
+    shuffle partitions, without a ceiling. A row finds its range by binary search.
     """
     ranges = ranges or _range_count(df)
     key = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
-    sample = df.select(key.alias("k")).where(F.col("k").isNotNull())
-    sample = sample.orderBy(F.xxhash64("k")).limit(ranges - 1)
-    cuts = sample.agg(F.sort_array(F.collect_list("k"))).scalar()
+    sample = df.select(key.alias("k"), F.xxhash64(*(keys or []), *order).alias("h")).where(F.col("k").isNotNull())
+    sample = sample.orderBy("h").limit(ranges - 1)
+    cuts = sample.agg(F.sort_array(F.collect_set("k"))).scalar()
     halves = [1 << i for i in reversed(range(max(1, (ranges - 1).bit_length())))]
 
     def step(found: Column, half: Column) -> Column:
@@ -82,7 +82,7 @@ def running(
     if range_of is not None:
         ranged = df.withColumn(RANGE, range_of)
     else:
-        ranged = with_ranges(df, order, ranges)
+        ranged = with_ranges(df, order, ranges, keys)
     for name, value in totals.items():
         ranged = ranged.withColumn(f"_v_{name}", value)
     per_range = ranged.groupBy(*keys, RANGE).agg(

@@ -98,16 +98,12 @@ def profile_columns(
     return wide.select(F.inline(F.array(*rows)))
 
 
-def null_rates(df: DataFrame, top: int = 20) -> DataFrame:
-    """Columns that have nulls, the emptiest first."""
+def null_rates(df: DataFrame, top: int | None = None) -> DataFrame:
+    """Columns that have nulls, the emptiest first; all of them unless ``top`` asks for fewer."""
     fields = df.schema.fields
     wide = df.agg(*[F.avg(_missing(f).cast("int")).alias(f"rate:{f.name}") for f in fields])
-    return (
-        stacked(wide, [f.name for f in fields], ["rate"])
-        .where("rate > 0")
-        .orderBy(F.desc("rate"), "column")
-        .limit(top)
-    )
+    rates = stacked(wide, [f.name for f in fields], ["rate"]).where("rate > 0").orderBy(F.desc("rate"), "column")
+    return rates if top is None else rates.limit(top)
 
 
 def long_values(df: DataFrame, names: list[str]) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismill.operators import metrics, words
-from prismill.operators.models import TrainingFacts, compact, with_label
+from prismill.operators.models import TrainingFacts, with_label
 from prismill.operators.splits import shuffled_folds
 from prismill.operators.validation import side_by_side
 from prismill.session import cut_lineage
@@ -258,7 +258,7 @@ def classify_documents(vectorised: Vectorised, doc_id: str, label: str, splits:
     def one(i: int) -> DataFrame:
         rows_left = total - sizes.get(i, 0)
         facts = TrainingFacts(rows_left, len(labels), 1.0)
-        model = _learner(rows_left).fit(compact(folded.where(F.col("fold") != i), facts))
+        model = _learner(rows_left).fit(folded.where(F.col("fold") != i))
         return model.transform(folded.where(F.col("fold") == i))
 
     parts = side_by_side(rows.sparkSession, [lambda i=i: one(i) for i in range(splits)])
@@ -279,7 +279,7 @@ def class_words(vectorised: Vectorised, doc_id: str, label: str, top: int = 8) -
     """The words with the largest coefficients of each class, from a fit on all documents."""
     rows, labels = _labelled(vectorised, doc_id, label)
     facts = TrainingFacts(rows.count(), len(labels), 1.0)
-    matrix = _learner(facts.rows).fit(compact(rows, facts)).coefficientMatrix.toArray()
+    matrix = _learner(facts.rows).fit(rows).coefficientMatrix.toArray()
     if len(labels) == 2 and matrix.shape[0] == 1:
         matrix = np.repeat(matrix, 2, axis=0)
     best = []

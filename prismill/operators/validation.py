@@ -153,7 +153,7 @@ def classify_images(
         facts = models.training_facts(train, models.CLASSIFICATION)
         # a kernel width of one over the number of standardised features
         learner = models.rbf_svm(facts, C, 1.0 / width) if kernel == "rbf" else models.logistic(facts, C)
-        model = learner.fit(models.compact(train, facts))
+        model = learner.fit(train)
         return model.transform(scaler.transform(test)).where("prediction = label").count()
 
     right = sum(side_by_side(df.sparkSession, [lambda i=i: one(i) for i in range(splits)]))

@@ -40,20 +40,19 @@ def _lloyd_sql(steps: int) -> str:
 @query("kmeans_history", "K01", _lloyd_sql(4))
 def kmeans_history(spark, folder):
     points = plane(spark, folder)
-    steps = K.kmeans_history(points, ["x", "y"], 3, "p_partkey", max_iter=4, start=_START)
-    out = K.history_table(points, steps, ["x", "y"])
+    out = K.kmeans_rounds(points, ["x", "y"], 3, "p_partkey", max_iter=4, start=_START)
     return out.select("iteration", "cluster", "n", *[F.round(c, 4 if c == "inertia" else 6).alias(c) for c in out.columns[3:]])
 
 
 @query("kmeans_plus_plus", "K01")
 def kmeans_plus_plus(spark, folder):
     points = plane(spark, folder)
-    return K.history_table(points, K.kmeans_history(points, ["x", "y"], 4, "p_partkey", seed=1, max_iter=6), ["x", "y"])
+    return K.kmeans_rounds(points, ["x", "y"], 4, "p_partkey", seed=1)
 
 
 @query("elbow_curve", "K02")
 def elbow_curve(spark, folder):
-    return K.elbow_curve(plane(spark, folder), ["x", "y"], 6)
+    return K.elbow_curve(plane(spark, folder), ["x", "y"])
 
 
 @query(

@@ -23,17 +23,20 @@ def lines(spark, folder):
     ).withColumn("large", F.when(F.col("l_extendedprice") > 50000, "yes").otherwise("no"))
 
 
-def digits(spark, folder, width=8):
-    """Embeddings with their first coordinates as columns."""
+WIDTH = 64  # coordinates of an embedding
+
+
+def digits(spark, folder):
+    """Embeddings with their coordinates as columns."""
     rows = table(spark, folder, "embeddings")
     return rows.select(
         F.col("vec_id").alias("row_id"), F.col("label").cast("double").alias("label"), F.col("label").cast("string").alias("digit"),
         F.col("embedding").cast("array<double>").alias("image"),
-        *[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(width)],
+        *[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(WIDTH)],
     )
 
 
-XS = [f"x{i}" for i in range(8)]
+XS = [f"x{i}" for i in range(WIDTH)]
 
 
 def halves(spark, folder):
@@ -48,7 +51,8 @@ def flagged(spark, folder):
     return placed.where("part = 'train'"), placed.where("part = 'test'")
 
 
-_SMALL = {"boosted": {"n_estimators": 5}, "forest": {"n_estimators": 10, "max_depth": 5}}
+# sizes of the tables here; every boosting round is a chain of jobs, and folds and permutations multiply them
+_SMALL = {"boosted": {"n_estimators": 10}, "forest": {"n_estimators": 40, "max_depth": 8}}
 
 
 @query("hold_out_linear", "B08 B10 B14 E07")
@@ -69,7 +73,7 @@ def hold_out_ridge(spark, folder):
 def cross_validated_models(spark, folder):
     rows = lines(spark, folder)
     scores = V.cross_validate_models(
-        ["linear", "forest", "boosted", "baseline"], rows, "row_id", M.REGRESSION, "l_extendedprice", NUMERIC, CATEGORICAL, MEAN, 3, options=_SMALL
+        ["linear", "forest", "boosted", "baseline"], rows, "row_id", M.REGRESSION, "l_extendedprice", NUMERIC, CATEGORICAL, MEAN, 5, options=_SMALL
     )
     return V.compare_scores(scores)
 
@@ -83,14 +87,14 @@ def _forest_model(spark, folder):
 @query("permutation_importance", "B18")
 def permutation_importance(spark, folder):
     rows, model = _forest_model(spark, folder)
-    return X.permutation_importance(model, rows, NUMERIC + CATEGORICAL, "row_id", 2)
+    return X.permutation_importance(model, rows, NUMERIC + CATEGORICAL, "row_id", 5)
 
 
 @query("unused_features", "B19")
 def unused_features(spark, folder):
     """All columns with the verdict, so that the result is not empty when every column helps."""
     rows, model = _forest_model(spark, folder)
-    lost = X.permutation_importance(model, rows, NUMERIC + CATEGORICAL, "row_id", 2)
+    lost = X.permutation_importance(model, rows, NUMERIC + CATEGORICAL, "row_id", 5)
     unused = X.unused_features(lost).select("feature", F.lit(True).alias("unused"))
     return lost.join(unused, "feature", "left").select("feature", F.coalesce("unused", F.lit(False)).alias("unused"))
 
@@ -114,8 +118,7 @@ def top_contributions(spark, folder):
 
 
 _SETTINGS = {
-    "logreg": {}, "svm_linear": {}, "svm_rbf": {"gamma": 0.1}, "tree": {}, "forest": {"n_estimators": 10},
-    "gbdt": {"n_estimators": 5}, "bagging": {"n_estimators": 10}, "knn": {}, "gnb": {},
+    "logreg": {}, "svm_linear": {}, "svm_rbf": {"gamma": 0.1}, "tree": {}, "forest": {}, "gbdt": {"n_estimators": 20}, "bagging": {}, "knn": {}, "gnb": {},
 }
 _ROW = {"logreg": "M01", "knn": "M02", "svm_linear": "M03", "svm_rbf": "M04", "tree": "M05", "forest": "M06", "gbdt": "M07", "bagging": "M08", "gnb": "M09"}
 
@@ -143,20 +146,20 @@ def parameter_sweep(spark, folder):
 @query("ensemble_stages", "M11")
 def ensemble_stages(spark, folder):
     train, test = flagged(spark, folder)
-    return V.ensemble_stages(train, test, NUMERIC, n_estimators=5, max_depth=4)
+    return V.ensemble_stages(train, test, NUMERIC, n_estimators=20, max_depth=4)
 
 
 @query("forest_growth", "M12")
 def forest_growth(spark, folder):
     train, test = halves(spark, folder)
-    growth = V.forest_growth(train, test, XS, (1, 2, 5, 10))
+    growth = V.forest_growth(train, test, XS)
     return growth.withColumn("plateau", V.plateau(growth).select("trees").scalar())
 
 
 @query("noise_probe", "M13")
 def noise_probe(spark, folder):
     train, test = halves(spark, folder)
-    return X.noise_probe(train, test, XS[:2], "digit", "row_id", noise=4, trees=10, depth=4, repeats=2)
+    return X.noise_probe(train, test, XS, "digit", "row_id", noise=4)
 
 
 def curve(spark, folder):
@@ -197,7 +200,7 @@ def straight_line_fit(spark, folder):
 @query("degree_sweep", "M15")
 def degree_sweep(spark, folder):
     train, test = curve(spark, folder)
-    sweep = V.degree_sweep(train, test, "x", "y", "row_id", (1, 2, 3))
+    sweep = V.degree_sweep(train, test, "x", "y", "row_id")
     return sweep.withColumn("best_degree", V.best_degree(sweep).select("degree").scalar())
 
 
@@ -205,5 +208,5 @@ def degree_sweep(spark, folder):
 def image_classes_by_features(spark, folder):
     """Cross-validated accuracy per feature set."""
     rows = digits(spark, folder).select("row_id", "label", "digit", "image")
-    out = [(name, *V.classify_images(rows, name, splits=2)) for name in ("raw", "hog", "edges")]
+    out = [(name, *V.classify_images(rows, name)) for name in ("raw", "hog", "edges")]
     return spark.createDataFrame(out, "features string, n_features int, accuracy double")

@@ -11,7 +11,7 @@ from prismill.plans.text import TFIDF, documents
 
 
 def vectorised(spark, folder, **options):
-    return T.vectorise(documents(spark, folder), **{"min_df": 5, "max_features": 300, **options})
+    return T.vectorise(documents(spark, folder), **{"min_df": 5, **options})
 
 
 @query("tfidf_vectors", "X03", f"WITH {TFIDF} SELECT doc_id, CAST(count(*) AS INT) AS terms, round(sum(tfidf), 5) AS mass FROM tw GROUP BY 1")
@@ -26,7 +26,7 @@ def tfidf_vectors(spark, folder):
 
 @query("lda_topics", "X09 X11 O03")
 def lda_topics(spark, folder):
-    components, mixes = T.fit_lda(vectorised(spark, folder), "doc_id", topics=4, iterations=10)
+    components, mixes = T.fit_lda(vectorised(spark, folder), "doc_id", topics=4)
     return T.topic_summary(components, mixes, "doc_id")
 
 
@@ -111,5 +111,5 @@ def classification_folds(spark, folder):
 def classified_turns(spark, folder):
     """The role of a conversation turn from its words."""
     turns = table(spark, folder, "conversations").withColumn("turn_id", F.col("conv_id") * 1000 + F.col("turn"))
-    found = T.vectorise(turns, "turn_id", min_df=5, max_features=200)
+    found = T.vectorise(turns, "turn_id", min_df=5)
     return T.class_report(T.classify_documents(found, "turn_id", "role", 2))

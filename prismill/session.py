@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +42,9 @@ def checkpoint_folder(spark: SparkSession) -> str:
     if not named:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        named = os.path.join(tempfile.mkdtemp(prefix="prismill-"), "checkpoints")
+        folder = tempfile.mkdtemp(prefix="prismill-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        named = os.path.join(folder, "checkpoints")
     context.setCheckpointDir(named)
     return context.getCheckpointDir()
 

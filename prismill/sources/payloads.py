@@ -53,7 +53,10 @@ def weather_rows(payloads: DataFrame, payload: str = "payload", city: str = "cit
     rows = days.select(F.col("time").try_cast("date").alias("日付"), F.col(city).alias("都市"), *values)
     reason = F.coalesce(F.col("_p.reason"), F.lit("no daily data"))
     rejected = parsed.where(~usable).select(city, F.col(payload), reason.alias("_error"))
-    return Ingested(rows.where(F.col("日付").isNotNull()), rejected)
+    # a day whose date can't be read is handed back by itself
+    dated = F.col("time").try_cast("date").isNotNull()
+    undated = days.where(~dated).select(city, F.to_json(F.struct("time", *WEATHER_COLUMNS)).alias(payload), F.lit("no date").alias("_error"))
+    return Ingested(rows.where(F.col("日付").isNotNull()), rejected.union(undated))
 
 
 _SERIES = T.ArrayType(T.DoubleType())
@@ -148,10 +151,34 @@ def clean_markup(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"[\s ]+", " "))
 
 
-_FEED = (
-    "channel STRUCT<item: ARRAY<STRUCT<title: STRING, link: STRING, description: STRING, "
-    "pubDate: STRING, updated: STRING>>>"
+# items of the three feed formats: below the channel, beside it, and entries with their links as attributes
+_ITEM = "ARRAY<STRUCT<title: STRING, link: STRING, description: STRING, pubDate: STRING, updated: STRING, date: STRING>>"
+_ENTRY = (
+    "ARRAY<STRUCT<title: STRING, link: ARRAY<STRUCT<_href: STRING, _rel: STRING>>, summary: STRING, content: STRING, "
+    "published: STRING, updated: STRING>>"
 )
+_FEED = f"channel STRUCT<item: {_ITEM}>, item {_ITEM}, entry {_ENTRY}"
+
+
+def _feed_items(parsed: Column) -> Column:
+    """Title, link, description and times of every item, whatever the format."""
+    texts = "title", "link", "description", "pubDate", "updated"
+
+    def rss(item: Column) -> Column:
+        return F.struct(*[item[c].alias(c) for c in texts[:4]], F.coalesce(item["updated"], item["date"]).alias("updated"))
+
+    def atom(entry: Column) -> Column:
+        page = F.filter(entry["link"], lambda k: F.coalesce(k["_rel"], F.lit("alternate")) == "alternate")
+        return F.struct(
+            entry["title"].alias("title"), F.get(F.coalesce(page, entry["link"]), F.lit(0))["_href"].alias("link"),
+            F.coalesce(entry["summary"], entry["content"]).alias("description"), entry["published"].alias("pubDate"), entry["updated"].alias("updated"),
+        )
+
+    none = F.array().cast("array<struct<title: string, link: string, description: string, pubDate: string, updated: string>>")
+    lists = (F.transform(parsed["channel"]["item"], rss), F.transform(parsed["item"], rss), F.transform(parsed["entry"], atom))
+    return F.concat(*[F.coalesce(x, none) for x in lists])
+
+
 FEED_ZONE = "Asia/Tokyo"
 
 
@@ -166,9 +193,9 @@ def _feed_time(text: Column) -> Column:
 
 
 def feed_rows(payloads: DataFrame, payload: str = "payload", source: str = "source", fetched_at: str = "fetched_at") -> Ingested:
-    """Feed documents to articles, newest first with undated ones last; items without a title are dropped."""
-    parsed = payloads.withColumn("_items", F.from_xml(payload, _FEED).getField("channel").getField("item"))
-    usable = F.coalesce(F.size("_items"), F.lit(0)) > 0
+    """Feed documents (RSS 2.0, RSS 1.0, Atom) to articles; items without a title are handed back as rejected."""
+    parsed = payloads.withColumn("_items", _feed_items(F.from_xml(payload, _FEED, {"ignoreNamespace": "true"})))
+    usable = F.size("_items") > 0
     items = parsed.where(usable).select(source, fetched_at, F.inline("_items"))
     rows = items.select(
         F.col(source).alias("配信元"),
@@ -177,9 +204,18 @@ def feed_rows(payloads: DataFrame, payload: str = "payload", source: str = "sour
         clean_markup(F.col("description")).alias("要約"),
         F.coalesce("link", F.lit("")).alias("URL"),
         F.col(fetched_at).alias("取得日時"),
-    ).where(F.col("見出し") != "")
+    )
     rejected = parsed.where(~usable).select(source, payload, F.lit("no articles").alias("_error"))
-    return Ingested(rows.orderBy(F.desc_nulls_last("配信日時")), rejected)
+    untitled = F.coalesce(clean_markup(F.col("title")), F.lit("")) == ""
+    lost = items.where(untitled).select(
+        source, F.to_json(F.struct("title", "link", "description", "pubDate", "updated")).alias(payload), F.lit("no title").alias("_error")
+    )
+    return Ingested(rows.where(F.col("見出し") != ""), rejected.union(lost))
+
+
+def newest_first(articles: DataFrame) -> DataFrame:
+    """Articles for reading: the latest first, undated ones last."""
+    return articles.orderBy(F.desc_nulls_last("配信日時"), "URL")
 
 
 def accumulate(saved: DataFrame | None, fresh: DataFrame, key: str = "URL", position: str | None = None) -> DataFrame:

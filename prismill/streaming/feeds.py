@@ -37,9 +37,10 @@ def merge_batch(catalog: Catalog, name: str, payloads: DataFrame) -> int:
         saved = None
     if saved is None and fresh.isEmpty():
         return 0
-    merged = accumulate(saved, fresh)
-    meta = catalog.save(name, merged, label="feeds", source="RSS", domain="text", params={"files": "landed"})
-    return meta["rows"]
+    once = accumulate(None, fresh)
+    if saved is None:
+        return catalog.save(name, once, label="feeds", source="RSS", domain="text", params={"files": "landed"})["rows"]
+    return catalog.append(name, once.join(saved.select("URL"), "URL", "left_anti").select(*saved.columns))["rows"]
 
 
 def accumulate_landed(spark: SparkSession, catalog: Catalog, folder: str, name: str, state_folder: str) -> None:

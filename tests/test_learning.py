@@ -189,11 +189,11 @@ def test_kmeans_history(spark):
     x = rng.normal(size=(200, 2)) + 6 * (np.arange(200) % 3)[:, None]
     df = spark.createDataFrame(pd.DataFrame({"id": np.arange(200), "x": x[:, 0], "y": x[:, 1]}))
     for init in ("k-means++", "random"):
-        steps = K.kmeans_history(df, ["x", "y"], 3, "id", init=init, seed=2)
-        inertia = [s.inertia for s in steps]
-        assert all(a >= b - 1e-9 for a, b in zip(inertia, inertia[1:])) and steps[-1].shift < 1e-6
-    empty = K.kmeans_history(df, ["x", "y"], 2, "id", start=[[0.0, 0.0], [1e6, 1e6]], max_iter=1)
-    assert empty[0].sizes[1] == 0 and empty[0].moved[1] != [1e6, 1e6]
+        rounds = K.kmeans_rounds(df, ["x", "y"], 3, "id", init=init, seed=2).where("cluster = 0").orderBy("iteration").toPandas()
+        assert (rounds["inertia"].diff().dropna() <= 1e-9).all() and rounds["shift"].iloc[-1] < 1e-6
+    first = K.kmeans_rounds(df, ["x", "y"], 2, "id", start=[[0.0, 0.0], [1e6, 1e6]], max_iter=1).where("cluster = 1").first()
+    farthest = max(map(tuple, x.tolist()), key=lambda p: p[0] ** 2 + p[1] ** 2)
+    assert first["n"] == 0 and (first["to_x"], first["to_y"]) == pytest.approx(farthest)
 
 
 DOCS = ["team wins final match goal", "player scores goal match team", "team coach praises player match", "final match draws crowd team",
