@@ -5,6 +5,11 @@ The document-term matrix is a long table ``(doc_id, term, weight)`` here.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,10 +23,6 @@ STOP_WORDS = (
     "el los las del y es por con una para se lo como"
 ).split()
 
-# Largest vocabulary that is sent to every executor; a larger one is shuffled.
-BROADCAST_TERMS = 200_000
-
-
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1))
 
@@ -45,13 +46,30 @@ def term_rows(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None,
     min_length: int = 2, stop_words: list[str] | None = None,
 ) -> DataFrame:
-    """Long form ``(doc_id, term, tf)``: a document sits in one row, so its terms combine before the shuffle.
+    """Long form ``(doc_id, term, tf)``: a document sits in one row, so its terms are counted there and nothing is shuffled.
 
-    Words are filtered after the explode, where the test is compiled code.
+    Ids name one row each; the terms of rows that share one would stay apart.
     """
     kept = [doc_id, *(keep or [])]
-    rows = docs.select(*kept, F.explode(_words(F.col(text))).alias("term"))
-    return rows.where(_kept(F.col("term"), min_length, stop_words)).groupBy(*kept, "term").agg(F.count("*").alias("tf"))
+    stop = frozenset(STOP_WORDS if stop_words is None else stop_words)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters = regex.compile(r"\p{L}+")
+        for batch in batches:
+            rows, terms, times = [], [], []
+            for row, words in enumerate(batch.column(len(kept))):
+                found = Counter(letters.findall(words.as_py() or ""))
+                own = [w for w in found if len(w) >= min_length and w not in stop]
+                rows += [row] * len(own)
+                terms += own
+                times += [found[w] for w in own]
+            at = pa.array(rows, pa.int64())
+            columns = [c.take(at) for c in batch.columns[: len(kept)]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(terms, pa.string()), pa.array(times, pa.int64())], names=[*kept, "term", "tf"])
+
+    narrow = docs.select(*kept, F.lower(F.col(text)).alias("_lower"))
+    fields = ", ".join(f"`{name}` {kind}" for name, kind in narrow.dtypes[:-1])
+    return narrow.mapInArrow(count, f"{fields}, term string, tf bigint")
 
 
 def term_totals(terms: DataFrame) -> DataFrame:
@@ -82,8 +100,6 @@ def tfidf(
     """Length-normalised TF-IDF weights in long form; ``docs`` counts every document, empty ones too."""
     n_docs = docs.agg(F.count("*")).scalar()
     words = vocabulary(terms, n_docs, min_df, max_df, max_features, binary).select("term", "idf")
-    if max_features is not None and max_features <= BROADCAST_TERMS:
-        words = F.broadcast(words)
     tf = F.lit(1) if binary else F.col("tf")
     weighted = terms.join(words, "term").withColumn("_w", tf * F.col("idf"))
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(doc_id)))
