@@ -75,7 +75,30 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_articles(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), **ID)
 
 
-@query("op4_url_filter", covers="")
+_HOST = r"lower(regexp_extract(coalesce({0}, ''), '^.*?://([^/?#]*)', 1, 's'))"
+_PATH = r"regexp_extract(coalesce({0}, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's')"
+_BY_LENGTH = sorted(RULES, key=lambda r: -len(r.name))
+_FITS = "CASE " + " ".join(
+    f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.verdict} {r.name}'" for r in _BY_LENGTH
+) + " END"
+
+
+@query("op4_url_filter", covers="", sql=rf"""
+    WITH RECURSIVE p AS (
+        SELECT page_id, {_HOST.format("url")} AS host, {_PATH.format("url")} AS path, regexp_replace(url, '#.*$', '', 's') AS address, html FROM pages
+    ), l AS (
+        SELECT address AS a, regexp_replace(replace(t, '&amp;', '&'), '#.*$', '', 's') AS b FROM (
+            SELECT address, regexp_extract(html, '<link[^>]*rel="canonical"[^>]*href="([^"]*)"', 1, 'is') AS t FROM p
+            UNION ALL SELECT address, regexp_extract(html, '<meta[^>]*http-equiv="refresh"[^>]*url=([^">\s]+)', 1, 'is') FROM p
+        ) WHERE t LIKE '%://%' AND address IS NOT NULL
+    ), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+    seed AS (SELECT a AS address FROM (SELECT a, {_HOST.format("a")} AS host, {_PATH.format("a")} AS path FROM e) WHERE ({_FITS}) LIKE 'block %'),
+    bad AS (SELECT address FROM seed UNION SELECT e.b FROM bad JOIN e ON e.a = bad.address),
+    j AS (SELECT page_id, host, path, address, {_FITS} AS fit FROM p)
+    SELECT page_id, host, path, CASE WHEN fit IS NOT NULL THEN substr(fit, strpos(fit, ' ') + 1) END AS rule,
+        CASE WHEN fit IS NOT NULL THEN split_part(fit, ' ', 1) WHEN address IN (SELECT address FROM bad) THEN 'block' ELSE 'allow' END AS verdict
+    FROM j
+""")
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's address."""
     pages = table(spark, sf_dir, "pages")
