@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -226,8 +228,31 @@ def ridge_predictions(
                 predicted[test] = x[test] @ weights + start
         return part[[*keys, "ts", "fold", "target"]].assign(predicted=predicted)[fold > 0]
 
-    grouping = placed.groupBy(*keys) if keys else placed.groupBy(F.lit(0))
-    return grouping.applyInPandas(fit, out)
+    return _by_series(placed, keys).applyInPandas(fit, out)
+
+
+def _by_series(rows: DataFrame, keys: list[str]):
+    """One group per series; without keys the whole table would be one group of one task."""
+    if not keys:
+        raise ValueError("name the columns that tell the series apart")
+    return rows.groupBy(*keys)
+
+
+def ridge_sweep(
+    series: DataFrame, keys: list[str], horizons: tuple[int, ...] = HORIZONS, splits: int = 5, alpha: float = 1.0, **features,
+) -> DataFrame:
+    """Mean fold scores of the ridge forecast per horizon, in the shape of :func:`horizon_sweep`.
+
+    The features of all horizons are one table, so each series and horizon is one small solve of the same job. Horizons
+    that leave fewer than two rows per split are skipped.
+    """
+    group = [*keys, "horizon"]
+    tables = [make_features(series, keys, horizon=h, **features).withColumn("horizon", F.lit(h)) for h in horizons]
+    names = [c for c in tables[0].columns if c not in (*group, "ts", "value", "target")]
+    rows = reduce(DataFrame.unionByName, tables).withColumn("_n", F.count("*").over(Window.partitionBy(*group)))
+    out_of_fold = ridge_predictions(rows.where(F.col("_n") >= 2 * splits).drop("_n"), group, names, splits, alpha)
+    folds = score_predictions(out_of_fold, group, "ridge")
+    return folds.groupBy(*group, "method").agg(F.avg("r2").alias("r2"), F.avg("rmse").alias("rmse"), F.avg("mae").alias("mae"))
 
 
 def ridge_importance(features: DataFrame, keys: list[str], names: list[str], alpha: float = 1.0) -> DataFrame:
@@ -241,8 +266,7 @@ def ridge_importance(features: DataFrame, keys: list[str], names: list[str], alp
             rows[key] = part[key].iloc[0]
         return rows[[*keys, "feature", "importance"]]
 
-    grouping = features.groupBy(*keys) if keys else features.groupBy(F.lit(0))
-    return grouping.applyInPandas(fit, out)
+    return _by_series(features, keys).applyInPandas(fit, out)
 
 
 def _boosted(trees: int, rate: float, depth: int, seed: int):

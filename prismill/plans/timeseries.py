@@ -367,6 +367,20 @@ def best_by_horizon(spark, folder):
     return out.select("series", "horizon", "method", F.round("r2", 5).alias("r2"), F.round("gain", 5).alias("gain"))
 
 
+@query("horizon_sweep_learned", "T14 T18 T19")
+def horizon_sweep_learned(spark, folder):
+    """The ridge forecast beside the untrained ones, per horizon."""
+    series = daily(spark, folder)
+    both = forecasting.horizon_sweep(series, KEY, period=365).unionByName(forecasting.ridge_sweep(series, KEY))
+    return both.select("series", "horizon", "method", F.round("r2", 5).alias("r2"), F.round("rmse", 3).alias("rmse"), F.round("mae", 3).alias("mae"))
+
+
+@query("boosted_forecaster_importance", "T15 T20")
+def boosted_forecaster_importance(spark, folder):
+    features = forecasting.make_features(monthly(spark, folder), KEY, n_lags=7, windows=(7,), horizon=1)
+    return forecasting.boosted_importance(features, forecasting.feature_names(7, (7,)), trees=30)
+
+
 @query("backtest_ridge", "T14 T17")
 def backtest_ridge(spark, folder):
     features = forecasting.make_features(daily(spark, folder), KEY, horizon=7)
