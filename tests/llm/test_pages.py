@@ -65,6 +65,7 @@ def test_article_element_is_extracted():
 @pytest.mark.parametrize("page, want", [
     ("", ""), ("just text", "just text"), ("<p>open <b>only", "open only"), ("a < b & c", "a < b & c"), ("<script>x", ""), ("<!-- <p>no</p> --><p>yes", "yes"),
     ("<p title='a>b'>quoted</p>", "quoted"), ("<div hidden>no</div><p>yes</p>", "yes"), ("</div></p>stray</p>", "stray"),
+    ("<p>a<span class='ad'>buy</span> b</p><button>no</button><script>if(a<b){x=\"it's\"}</script><p>c", "a b\n\nc"), ("<a class=share href=x>s</a><p>z", "z"),
     ("<main><header><h1>T</h1></header><p>x</p></main><p>after</p>", "T\n\nx"),
 ])
 def test_odd_markup(page, want):
