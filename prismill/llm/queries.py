@@ -109,10 +109,8 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_cross_entropy_difference", covers="")
 def op6_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loss per word under the model of good documents less that under the model of all."""
-    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("_good")).distinct()
-    documents = table(spark, sf_dir, "documents")
-    marked = documents.join(good, F.col("doc_id") == F.col("_good"), "left").withColumn("good", F.col("_good").isNotNull())
-    return crossentropy.cross_entropy_difference(marked, "good", **ID)
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return crossentropy.cross_entropy_difference(table(spark, sf_dir, "documents"), good, **ID)
 
 
 @query("op7_token_counts", covers="")

@@ -91,7 +91,7 @@ def test_a_text_is_scored_by_the_others(spark):
     rows = [(f"t{i}", f"red green blue {i}", True) for i in range(20)] + [(f"b{i}", f"up down left {i}", False) for i in range(60)]
     rows += [("q1", "red green blue", False), ("q2", "up down left", False), ("n", None, None), ("e", "", True)]
     df = spark.createDataFrame(rows, "URL string, `要約` string, target boolean")
-    got = {r["URL"]: r for r in crossentropy.cross_entropy_difference(df, "target").collect()}
+    got = {r["URL"]: r for r in crossentropy.cross_entropy_difference(df, df.where("target")).collect()}
     assert got["q1"]["score"] < 0 < got["q2"]["score"]
     assert (got["n"]["n_words"], got["n"]["score"], got["e"]["target_loss"]) == (0, 0.0, 0.0)
     # brute force: counts of all other texts
@@ -106,11 +106,12 @@ def test_a_text_is_scored_by_the_others(spark):
 
 
 def test_cross_entropy_of_awkward_rows(spark):
-    df = articles(spark, AWKWARD).selectExpr("*", "CAST(NULL AS boolean) AS target")
-    rows = collected(crossentropy.cross_entropy_difference(df, "target"))
-    assert len(rows) == len(AWKWARD)
-    assert all(math.isfinite(r["score"]) for r in rows)
-    assert crossentropy.cross_entropy_difference(df.limit(0), "target").count() == 0
+    df = articles(spark, AWKWARD)
+    for target in (df.limit(0), df):
+        rows = collected(crossentropy.cross_entropy_difference(df, target))
+        assert len(rows) == len(AWKWARD)
+        assert all(math.isfinite(r["score"]) for r in rows)
+    assert crossentropy.cross_entropy_difference(df.limit(0), df).count() == 0
 
 
 def test_token_counts_equal_the_library(spark):
