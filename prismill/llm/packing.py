@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import json
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -46,22 +47,23 @@ class WordIds(dict):
         self._rare = re.compile(r"[^\S \n]")
 
     def _bytes(self, text: str) -> bytes:
-        return self._coder.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+        ids = self._coder.encode(text, allowed_special="all") if "<|" in text else self._coder.encode_ordinary(text)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        # a space between two other characters is a boundary; beside other white space it is not
-        beside = "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or self._rare.search(text)
-        words = self._clean.split(text) if beside else text.split(" ")
+        # a space or a line break between two other characters is a boundary; beside other white space it is not
+        beside = "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] == " " or text[-1] == " " or self._rare.search(text)
+        words = self._clean.split(text) if beside else text.replace("\n", " \n").split(" ")
         return self._bytes(words[0]) + b"".join(map(self.__getitem__, words[1:]))
 
     def __missing__(self, word: str) -> bytes:
-        ids = self._bytes(" " + word)
-        if "\n" not in word:  # two words around a line break seldom come again
-            if len(self) >= _MEMO:
-                self.clear()
-            self[word] = ids
+        # what follows a line break has no space before it
+        ids = self._bytes(word if word.startswith("\n") else " " + word)
+        if len(self) >= _MEMO:
+            self.clear()
+        self[word] = ids
         return ids
 
 

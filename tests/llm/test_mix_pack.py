@@ -135,7 +135,7 @@ def test_open_bins_close_the_fullest():
     assert sorted(bins.left()) == [(3, 9)]
 
 
-@pytest.mark.parametrize("text", ["a  b", " a b ", "a\n b\nc", "x <|endoftext|> y", "don't\tstop", "é 漢字 🙂", "a　b \x1c c", "\n\n a", "a "])
+@pytest.mark.parametrize("text", ["a  b", " a b ", "a\n b\nc", "x <|endoftext|> y", "don't\tstop", "é 漢字 🙂", "a　b \x1c c", "\n\n a", "a ", "a\nb\n", "\na b\nc d", "a\n\n\nb c", "\n", "a\n\nb c\n\n", " ", "a\n<|endoftext|>\nb"])
 def test_word_ids_equal_the_library(text):
     ids = np.frombuffer(packing.word_ids(BYTES)(text), "<u4").tolist()
     assert ids == Tokenizer.from_file(BYTES).encode(text, add_special_tokens=False).ids
