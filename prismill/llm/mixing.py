@@ -106,7 +106,7 @@ def pivot(size: np.ndarray, share: np.ndarray, luck: np.ndarray, last: bool) ->
 def _settle(last: bool):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         # long rows first, so that what stays open is short
-        rows = rows.sort_values(["size", "luck", "id"], ascending=[False, True, True], kind="stable", ignore_index=True)
+        rows = rows.sort_values(["size", "luck", "id", "own"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
         share, held = pivot(rows["size"].to_numpy(float), rows["share"].to_numpy(float), rows["luck"].to_numpy(float), last)
         return rows.drop(columns="segment").assign(share=share, open=np.arange(len(rows)) == held)
 
@@ -131,8 +131,13 @@ def mix_sources(
     so reruns agree. Null texts have size 0, and articles without words get the whole part only; null sources are
     one source, the last; repeated rows are drawn one by one. An empty table gives an empty result.
     """
-    rows = narrow(articles, id=key, text=text, source=source)
-    sized = cut_lineage(rows.select("id", "source", _word_count(filled("text").cast("binary")).alias("size")))
+    drawn = _drawn(narrow(articles, id=key, text=text, source=source).withColumn("own", F.lit(None).cast("binary")), weights, repeats, seed)
+    return drawn.select(F.col("id").alias(key), "size", "source_size", "target", "copies", "taken")
+
+
+def _drawn(rows: DataFrame, weights: Sequence[float], repeats: float, seed: int) -> DataFrame:
+    """:func:`mix_sources` on rows (``id``, ``text``, ``source``, ``own``); ``own``, if not null, tells rows without an id apart."""
+    sized = cut_lineage(rows.select("id", "own", "source", _word_count(filled("text").cast("binary")).alias("size")))
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     totals = cut_lineage(target_sizes(totals, weights, repeats))
     largest = totals.agg(F.coalesce(F.max("rows"), F.lit(0)).alias("n")).first()["n"]
@@ -140,9 +145,10 @@ def mix_sources(
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     base = F.floor(copies + F.lit(1e-9)).cast("long")
     mixed = sized.join(totals.withColumnRenamed("source", "_source"), same(F.col("source"), F.col("_source"))).drop("_source")
-    luck = F.shiftrightunsigned(F.xxhash64("id", "size", F.lit(seed)), 11) / F.lit(float(1 << 53))
+    apart = F.when(F.col("id").isNull(), F.col("own"))  # hashes pass over nulls, so an id's draw does not depend on it
+    luck = F.shiftrightunsigned(F.xxhash64("id", "size", apart, F.lit(seed)), 11) / F.lit(float(1 << 53))
     level = mixed.select(
-        "id", "source", "size", "source_size", "target", base.alias("base"), F.greatest(copies - base, F.lit(0.0)).alias("share"),
+        "id", "own", "source", "size", "source_size", "target", base.alias("base"), F.greatest(copies - base, F.lit(0.0)).alias("share"),
         luck.alias("luck"), F.col("rows").alias("peers"),
     )
     settled = []
@@ -150,7 +156,7 @@ def mix_sources(
     while True:
         last = largest <= SEGMENT
         groups = F.ceil(F.col("peers") / SEGMENT)
-        level = level.withColumn("segment", F.pmod(F.xxhash64("id", "size", F.lit(seed + 1 + depth)), groups))
+        level = level.withColumn("segment", F.pmod(F.xxhash64("id", "size", apart, F.lit(seed + 1 + depth)), groups))
         names = [c for c in level.columns if c != "segment"]
         schema = ", ".join(f"`{c}` {t}" for c, t in level.select(*names).dtypes) + ", open boolean"
         done = cut_lineage(level.groupBy("source", "segment").applyInPandas(_settle(last), schema))
@@ -165,9 +171,7 @@ def mix_sources(
     for more in settled[1:]:
         out = out.union(more)
     number = F.col("base") + F.col("share").cast("long")
-    return out.select(
-        F.col("id").alias(key), "size", "source_size", "target", number.alias("copies"), (number * F.col("size")).alias("taken")
-    )
+    return out.select("id", "own", "source", "size", "source_size", "target", number.alias("copies"), (number * F.col("size")).alias("taken"))
 
 
 def mixed_articles(
@@ -176,12 +180,16 @@ def mixed_articles(
 ) -> DataFrame:
     """The articles, all columns, each as often as :func:`mix_sources` takes it.
 
-    Rows with equal keys are one article, which is taken as often as all of them are.
+    Rows with equal keys, texts and sources are one article, which is taken as often as all of them are. Texts that share a
+    key or have none are known apart by their digest, so each is taken by its own copies.
     """
-    drawn = mix_sources(articles, key, text, source, weights, repeats, seed)
-    drawn = drawn.groupBy(F.col(key).alias("_taken")).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
-    once = articles.dropDuplicates([key])
+    own = F.unhex(F.md5(filled(articles[f"`{text}`"]).cast("binary")))
+    drawn = _drawn(narrow(articles, id=key, text=text, source=source).withColumn("own", F.unhex(F.md5(filled("text").cast("binary")))), weights, repeats, seed)
+    drawn = drawn.groupBy(F.col("id").alias("_taken"), F.col("own").alias("_text"), F.col("source").alias("_from"))
+    drawn = drawn.agg(F.sum("copies").alias("_copies")).where("_copies > 0")
+    once = articles.withColumn("_own", own).dropDuplicates([key, "_own", source])
+    this = same(once[f"`{key}`"], drawn["_taken"]) & (once["_own"] == drawn["_text"]) & same(once[f"`{source}`"], drawn["_from"])
     return (
-        once.join(drawn, same(once[f"`{key}`"], drawn["_taken"]))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("_taken", "_copies", "_copy")
+        once.join(drawn, this)
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("_own", "_taken", "_text", "_from", "_copies", "_copy")
     )

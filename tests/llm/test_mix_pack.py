@@ -139,3 +139,10 @@ def test_open_bins_close_the_fullest():
 def test_word_ids_equal_the_library(text):
     ids = np.frombuffer(packing.word_ids(BYTES)(text), "<u4").tolist()
     assert ids == Tokenizer.from_file(BYTES).encode(text, add_special_tokens=False).ids
+
+
+def test_texts_without_a_key_or_under_one_are_each_taken(spark):
+    """With one source every row is taken once, whatever its key."""
+    rows = [(None, f"nameless text {i}", "alpha") for i in range(30)] + [("u", f"text {i} under one key", "alpha") for i in range(30)]
+    out = collected(mixing.mixed_articles(articles(spark, rows), weights=(1.0,)))
+    assert sorted(r["要約"] for r in out) == sorted(t for _, t, _ in rows)
