@@ -114,6 +114,34 @@ def test_cross_entropy_of_awkward_rows(spark):
     assert crossentropy.cross_entropy_difference(df.limit(0), df).count() == 0
 
 
+def test_all_chunks_count_in_both_models(spark, monkeypatch):
+    """Texts dealt to many chunks score as if counted whole, by brute force over words at the sizes of the corpus."""
+    monkeypatch.setattr(crossentropy, "WORD_BITS", 9)
+    rng = random.Random(3)
+    rows = [(f"u{i}", " ".join(f"w{int(rng.paretovariate(0.6)) % 400}" for _ in range(rng.randint(1, 40))), i % 3 == 0) for i in range(120)]
+    df = spark.createDataFrame(rows, "URL string, `要約` string, target boolean")
+    got = {r["URL"]: r for r in crossentropy.cross_entropy_difference(df, df.where("target"), chunk=300).collect()}
+    bits = crossentropy.sizes(sum(len(t.split()) for _, t, _ in rows))
+    assert bits[0] > 9
+    grams = {u: crossentropy._grams(crossentropy.word_slots(t.encode(), bits[0]), bits[1]) for u, t, _ in rows}
+    for name, column in (("background_loss", rows), ("target_loss", [r for r in rows if r[2]])):
+        counts = {}
+        for u, _, _ in column:
+            for g in grams[u].ravel().tolist():
+                counts[g] = counts.get(g, 0) + 1
+        total = sum(grams[u].shape[1] for u, _, _ in column)
+        for u, _, aimed in rows:
+            found = np.array([[counts.get(g, 0) for g in line] for line in grams[u].tolist()])
+            mine = crossentropy._own(grams[u]) if aimed or name == "background_loss" else None
+            assert got[u][name] == pytest.approx(crossentropy._losses(found, mine, total, bits).mean())
+
+
+def test_models_grow_with_the_corpus():
+    assert crossentropy.sizes(1000) == (20, 10)
+    assert crossentropy.sizes(4_000_000) == (22, 16)
+    assert crossentropy.sizes(1 << 30) == (31, 25)
+
+
 def test_token_counts_equal_the_library(spark):
     coder = Tokenizer.from_file(WORDS)
     for chunk in (7, 1 << 16):
