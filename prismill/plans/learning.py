@@ -108,13 +108,13 @@ def model_importance(spark, folder):
 @query("row_contributions", "B21")
 def row_contributions(spark, folder):
     rows, model = _forest_model(spark, folder)
-    return X.mean_contributions(X.contributions(model, rows, "row_id", max_samples=50, permutations=10))
+    return X.mean_contributions(X.contributions(model, rows, "row_id"))
 
 
 @query("top_contributions", "B22")
 def top_contributions(spark, folder):
     rows, model = _forest_model(spark, folder)
-    return X.top_contributions(X.contributions(model, rows, "row_id", max_samples=20, permutations=10), "row_id", 3)
+    return X.top_contributions(X.contributions(model, rows, "row_id"), "row_id", 3)
 
 
 _SETTINGS = {

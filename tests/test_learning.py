@@ -1,5 +1,6 @@
 """Preparation, models, explanations, clusters and topics against closed forms or brute force."""
 
+import os
 import numpy as np
 import pandas as pd
 import pytest
@@ -240,3 +241,12 @@ def test_run_log(spark, tmp_path):
 @pytest.mark.parametrize("value,text", [(True, "はい"), (False, "いいえ"), (3, "3"), (0.123456789, "0.123457"), ("x", "x"), ([1, 2], "1、2"), ((0.5, "a"), "0.5、a")])
 def test_setting_text(value, text):
     assert setting_text(value) == text
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_registered_contributions_explain_every_row(spark):
+    from prismill.plans.learning import lines
+    from prismill.plans.registry import QUERIES
+
+    shown = QUERIES["top_contributions"](spark, "/root/testdata/sf0.001").select("row_id").distinct().count()
+    assert shown == lines(spark, "/root/testdata/sf0.001").select("row_id").distinct().count()
