@@ -51,10 +51,6 @@ def flagged(spark, folder):
     return placed.where("part = 'train'"), placed.where("part = 'test'")
 
 
-# sizes of the tables here; every boosting round is a chain of jobs, and folds and permutations multiply them
-_SMALL = {"boosted": {"n_estimators": 10}, "forest": {"n_estimators": 40, "max_depth": 8}}
-
-
 @query("hold_out_linear", "B08 B10 B14 E07")
 def hold_out_linear(spark, folder):
     placed = splits.hold_out(lines(spark, folder), "row_id", "large")
@@ -73,14 +69,14 @@ def hold_out_ridge(spark, folder):
 def cross_validated_models(spark, folder):
     rows = lines(spark, folder)
     scores = V.cross_validate_models(
-        ["linear", "forest", "boosted", "baseline"], rows, "row_id", M.REGRESSION, "l_extendedprice", NUMERIC, CATEGORICAL, MEAN, 5, options=_SMALL
+        ["linear", "forest", "boosted", "baseline"], rows, "row_id", M.REGRESSION, "l_extendedprice", NUMERIC, CATEGORICAL, MEAN, 5
     )
     return V.compare_scores(scores)
 
 
 def _forest_model(spark, folder):
     rows = lines(spark, folder)
-    pipeline = M.TabularPipeline("forest", M.CLASSIFICATION, "large", NUMERIC, CATEGORICAL, MEAN, options=_SMALL["forest"])
+    pipeline = M.TabularPipeline("forest", M.CLASSIFICATION, "large", NUMERIC, CATEGORICAL, MEAN)
     return rows, pipeline.fit(rows)
 
 
@@ -118,7 +114,7 @@ def top_contributions(spark, folder):
 
 
 _SETTINGS = {
-    "logreg": {}, "svm_linear": {}, "svm_rbf": {"gamma": 0.1}, "tree": {}, "forest": {}, "gbdt": {"n_estimators": 20}, "bagging": {}, "knn": {}, "gnb": {},
+    "logreg": {}, "svm_linear": {}, "svm_rbf": {"gamma": 0.1}, "tree": {}, "forest": {}, "gbdt": {}, "bagging": {}, "knn": {}, "gnb": {},
 }
 _ROW = {"logreg": "M01", "knn": "M02", "svm_linear": "M03", "svm_rbf": "M04", "tree": "M05", "forest": "M06", "gbdt": "M07", "bagging": "M08", "gnb": "M09"}
 
@@ -146,7 +142,7 @@ def parameter_sweep(spark, folder):
 @query("ensemble_stages", "M11")
 def ensemble_stages(spark, folder):
     train, test = flagged(spark, folder)
-    return V.ensemble_stages(train, test, NUMERIC, n_estimators=20, max_depth=4)
+    return V.ensemble_stages(train, test, NUMERIC)
 
 
 @query("forest_growth", "M12")

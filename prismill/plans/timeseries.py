@@ -390,10 +390,8 @@ def backtest_ridge(spark, folder):
 
 @query("backtest_boosted", "T15 T17")
 def backtest_boosted(spark, folder):
-    """Fewer rounds than the API default; the query shows the plan, not the best score."""
-    features = forecasting.make_features(monthly(spark, folder), KEY, n_lags=7, windows=(7,), horizon=1)
-    names = forecasting.feature_names(7, (7,))
-    predictions = forecasting.boosted_predictions(features, KEY, names, splits=3, trees=10, rate=0.2)
+    features = forecasting.make_features(daily(spark, folder), KEY, horizon=7)
+    predictions = forecasting.boosted_predictions(features, KEY, _NAMES)
     return forecasting.score_predictions(predictions, KEY, "boosted")
 
 

@@ -32,7 +32,7 @@ def lda_topics(spark, folder):
 
 @query("nmf_topics", "X10 X11")
 def nmf_topics(spark, folder):
-    components, mixes, _ = T.fit_nmf(vectorised(spark, folder), "doc_id", topics=4, iterations=10)
+    components, mixes, _ = T.fit_nmf(vectorised(spark, folder), "doc_id", topics=4, iterations=400)
     return T.topic_summary(components, mixes, "doc_id")
 
 
@@ -72,13 +72,13 @@ def dominant_topics(spark, folder):
 
 @query("singular_values", "X12")
 def singular_values(spark, folder):
-    values, _ = T.singular_values(vectorised(spark, folder), 20)
+    values, _ = T.singular_values(vectorised(spark, folder))
     return spark.createDataFrame(list(enumerate(values, 1)), "component int, value double")
 
 
 @query("document_coordinates", "X12")
 def document_coordinates(spark, folder):
-    return T.document_coordinates(vectorised(spark, folder), "doc_id", 10)
+    return T.document_coordinates(vectorised(spark, folder), "doc_id")
 
 
 @query("document_clusters", "X13 O03")

@@ -250,3 +250,26 @@ def test_registered_contributions_explain_every_row(spark):
 
     shown = QUERIES["top_contributions"](spark, "/root/testdata/sf0.001").select("row_id").distinct().count()
     assert shown == lines(spark, "/root/testdata/sf0.001").select("row_id").distinct().count()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_registered_fits_keep_the_operators_settings(spark, monkeypatch):
+    from prismill.operators import forecasting
+    from prismill.plans import learning, timeseries, topics  # noqa: F401
+    from prismill.plans.registry import QUERIES
+
+    seen = {}
+
+    def note(name, out):
+        return lambda *args, **options: seen.update({name: (args, options)}) or out
+
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(V, "compare_scores", lambda scores: scores)
+    monkeypatch.setattr(V, "cross_validate_models", note("folds", None))
+    monkeypatch.setattr(V, "ensemble_stages", note("stages", None))
+    monkeypatch.setattr(forecasting, "boosted_predictions", note("boosted", None))
+    monkeypatch.setattr(forecasting, "score_predictions", lambda *args: None)
+    for name in ("cross_validated_models", "ensemble_stages", "backtest_boosted"):
+        QUERIES[name](spark, folder)
+    assert not {k for _, options in seen.values() for k in options} and len(seen) == 3
+    assert QUERIES["singular_values"](spark, folder).count() == 50
