@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismill.session import cut_lineage
+from prismill.session import checkpoint_folder, cut_lineage
 
 #: ASCII white space as a regex class body, and words as runs of anything else
 BLANK = r"\x20\x09-\x0D"
@@ -48,3 +50,10 @@ def numbered(rows: DataFrame, *order: Column) -> DataFrame:
         stored.withColumn("_part", part).join(before, "_part")
         .withColumn("position", F.col("_before") + within).drop("_row", "_part", "_before")
     )
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """The rows as a written table in the shared folder: smaller than a checkpoint, and columns can be read one by one."""
+    folder = f"{checkpoint_folder(rows.sparkSession)}/table-{uuid.uuid4().hex}"
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)

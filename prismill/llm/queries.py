@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismill.llm import crossentropy, exact, minhash, mixing, packing, simhash, template, tokencounts, toxicity, urlfilter
+from prismill.llm import crossentropy, exact, minhash, mixing, packing, simhash, substring, template, tokencounts, toxicity, urlfilter
 from prismill.llm.urlfilter import Rule
 from prismill.plans.registry import query, table
 
@@ -129,3 +129,10 @@ def op9_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return minhash.fingerprints_of_edits(table(spark, sf_dir, "documents"), **ID)
+
+
+@query("op13_substring_repeats", covers="")
+def op13_substring_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document, those in windows of 35 that repeat, and the digest of what stays."""
+    kept = substring.without_repeats(table(spark, sf_dir, "documents"), **ID)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
