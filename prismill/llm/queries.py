@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismill.llm import crossentropy, exact, minhash, mixing, packing, simhash, substring, template, tokencounts, toxicity, urlfilter
+from prismill.llm import conversations, crossentropy, exact, minhash, mixing, packing, phrases, simhash, substring, template, tokencounts, toxicity, urlfilter
 from prismill.llm.urlfilter import Rule
 from prismill.plans.registry import query, table
 
@@ -136,3 +136,60 @@ def op13_substring_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document, those in windows of 35 that repeat, and the digest of what stays."""
     kept = substring.without_repeats(table(spark, sf_dir, "documents"), **ID)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+@query("op12_phrase_collocations", covers="", sql=rf"""
+    WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), {_LETTERS}) AS t FROM documents),
+    p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?
+-
+]')) AS piece FROM d),
+    w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), x -> x <> '') AS w FROM p),
+    g AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), i -> w[i : i + size - 1])) AS words FROM w, (VALUES (1), (2), (3), (4)) AS s(size)),
+    f AS (SELECT lang, words, size, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+    n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+    c AS (SELECT lang, words, size, f AS a, unnest(range(1, size)) AS k FROM f WHERE size > 1),
+    s AS (
+        SELECT c.lang, c.words, c.size, a, k, x.f AS l, y.f AS r, CAST((2000000::HUGEINT * a) // (x.f::HUGEINT + y.f) AS BIGINT) AS score
+        FROM c JOIN f x ON x.lang = c.lang AND x.words = c.words[1 : k] JOIN f y ON y.lang = c.lang AND y.words = c.words[k + 1 : c.size]
+    ), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
+    i AS (SELECT lang, f AS a, words, size, unnest(range(2, size)) AS part FROM f WHERE size > 2),
+    j AS (SELECT lang, a, unnest(list_transform(range(1, size - part + 2), q -> words[q : q + part - 1])) AS words FROM i),
+    m AS (SELECT lang, words, max(a) AS longer FROM j GROUP BY ALL),
+    r AS (SELECT b.*, array_to_string(b.words, ' ') AS phrase FROM b LEFT JOIN m ON m.lang = b.lang AND m.words = b.words WHERE longer IS NULL OR 100 * longer < 80 * b.a)
+    SELECT r.lang, row_number() OVER (PARTITION BY r.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r.r AS r, n, score
+    FROM r JOIN n ON n.lang = r.lang QUALIFY rank <= 2000
+""")
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of every language."""
+    found = phrases.collocations(table(spark, sf_dir, "documents"), text="text", language="lang")
+    return found.withColumnRenamed("language", "lang")
+
+
+def damaged(messages: DataFrame) -> DataFrame:
+    """Messages lost, emptied, cut, repeated or misnamed by the checksum of conversation and turn."""
+    spelled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    harm = F.crc32(F.concat(spelled("conv_id"), F.lit(":"), spelled("turn")).cast("binary")) % 20
+    rows = messages.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"), harm.alias("harm"))
+    rows = rows.where("harm <> 0").withColumns({
+        "text": F.when(F.col("harm") == 1, "").when(F.col("harm") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")),
+        "role": F.when(F.col("harm") == 4, "user").otherwise(F.col("role")),
+        "time": F.explode(F.array_repeat(F.lit(1), F.when(F.col("harm") == 3, 2).otherwise(1))),
+    })
+    return rows.select("conv_id", "turn", "role", "text")
+
+
+@query("op11_conversation_repair", covers="")
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation."""
+    given = table(spark, sf_dir, "conversations")
+    messages = damaged(given)
+    summary, edits = conversations.find_edits(messages)
+    hashes = conversations.digests(conversations.repaired_messages(messages, edits)).withColumnRenamed("conv", "_conv")
+    every = given.select("conv_id").distinct()
+    found = every.join(summary, every["conv_id"].eqNullSafe(summary["conv"]), "left")
+    found = found.join(hashes, found["conv_id"].eqNullSafe(hashes["_conv"]), "left")
+    numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
