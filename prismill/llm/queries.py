@@ -146,8 +146,8 @@ _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
     p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?
 -
 ]')) AS piece FROM d),
-    w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), x -> x <> '') AS w FROM p),
-    g AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), i -> w[i : i + size - 1])) AS words FROM w, (VALUES (1), (2), (3), (4)) AS s(size)),
+    w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') AS w FROM p),
+    g AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: w[i : i + size - 1])) AS words FROM w, (VALUES (1), (2), (3), (4)) AS s(size)),
     f AS (SELECT lang, words, size, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
     n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
     c AS (SELECT lang, words, size, f AS a, unnest(range(1, size)) AS k FROM f WHERE size > 1),
@@ -156,7 +156,7 @@ _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
         FROM c JOIN f x ON x.lang = c.lang AND x.words = c.words[1 : k] JOIN f y ON y.lang = c.lang AND y.words = c.words[k + 1 : c.size]
     ), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
     i AS (SELECT lang, f AS a, words, size, unnest(range(2, size)) AS part FROM f WHERE size > 2),
-    j AS (SELECT lang, a, unnest(list_transform(range(1, size - part + 2), q -> words[q : q + part - 1])) AS words FROM i),
+    j AS (SELECT lang, a, unnest(list_transform(range(1, size - part + 2), lambda q: words[q : q + part - 1])) AS words FROM i),
     m AS (SELECT lang, words, max(a) AS longer FROM j GROUP BY ALL),
     r AS (SELECT b.*, array_to_string(b.words, ' ') AS phrase FROM b LEFT JOIN m ON m.lang = b.lang AND m.words = b.words WHERE longer IS NULL OR 100 * longer < 80 * b.a)
     SELECT r.lang, row_number() OVER (PARTITION BY r.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r.r AS r, n, score
