@@ -57,3 +57,22 @@ def stored(rows: DataFrame) -> DataFrame:
     folder = f"{checkpoint_folder(rows.sparkSession)}/table-{uuid.uuid4().hex}"
     rows.write.parquet(folder)
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
+def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+    """Connected components of links (``a``, ``b``, given both ways): ``node`` and ``label``, the smallest node reachable.
+
+    Every node hears its neighbours' labels, then takes its label's label, which halves what is left of a path; the loop ends when
+    nothing changes. A node's links combine before they are shuffled.
+    """
+    labels = cut_lineage(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")))
+    for _ in range(rounds):
+        heard = links.join(labels, links["a"] == labels["node"]).groupBy(F.col("b").alias("to")).agg(F.min("label").alias("heard"))
+        lower = labels.join(heard, labels["node"] == heard["to"], "left").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
+        ahead = lower.select(F.col("node").alias("of"), F.col("label").alias("next"))
+        after = lower.join(ahead, lower["label"] == ahead["of"], "left").select("node", "old", F.least("label", "next").alias("label"))
+        after = cut_lineage(after)
+        labels = after.select("node", "label")
+        if after.where("label <> old").isEmpty():
+            return labels
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
