@@ -74,35 +74,63 @@ def test_toxicity_of_awkward_rows(spark):
 
 
 def test_losses_are_of_a_distribution():
+    """Over all words there are, and as many unseen ones as the vocabulary makes room for."""
     rng = np.random.default_rng(1)
-    slots = rng.integers(0, crossentropy.WORDS, 5000)
-    own, before, pair = crossentropy.class_pairs(slots)
-    model = crossentropy.Model(np.bincount(pair, minlength=crossentropy.CLASSES**2), np.bincount(slots, minlength=crossentropy.WORDS))
-    first = np.arange(crossentropy.WORDS)
-    history = slots[17] & (crossentropy.CLASSES - 1)
-    cls = first & (crossentropy.CLASSES - 1)
-    share = (model.classes[cls] + 1) / (model.total + crossentropy.CLASSES)
-    followed = (model.pairs[history << crossentropy.CLASS_BITS | cls] + crossentropy.PAIR_PRIOR * share) / (model.after[history] + crossentropy.PAIR_PRIOR)
-    within = (model.words + crossentropy.SLOT_PRIOR) / (model.classes[cls] + crossentropy.SLOT_PRIOR * crossentropy.WORDS / crossentropy.CLASSES)
-    assert (followed * within).sum() == pytest.approx(1.0)
-
-
-def test_a_text_is_scored_by_the_others(spark):
-    rows = [(f"t{i}", f"red green blue {i}", True) for i in range(20)] + [(f"b{i}", f"up down left {i}", False) for i in range(60)]
-    rows += [("q1", "red green blue", False), ("q2", "up down left", False), ("n", None, None), ("e", "", True)]
+    known = rng.choice(1 << 40, 3000, replace=False)
+    text = rng.choice(known[:2000], 20_000)
+    words, counts = np.unique(text, return_counts=True)
+    model = crossentropy.Model(np.bincount(crossentropy.class_pairs(text)[2], minlength=crossentropy.CLASSES**2), 3000)
+    history, total = int(text[17]), 0.0
+    sizes = np.zeros(crossentropy.CLASSES)
+    for word, n in zip(words, counts):
+        sizes[word & (crossentropy.CLASSES - 1)] += 1
+        total += math.exp(-model.losses(np.array([history, word]), np.array([0, n]), False)[1])
+    unseen = 0.0
+    for cls in range(crossentropy.CLASSES):  # a word of the class without a count stands for what its class has left
+        left = 3000 / crossentropy.CLASSES - sizes[cls]
+        unseen += left * math.exp(-model.losses(np.array([history, cls]), np.array([0, 0]), False)[1])
+    assert total + unseen == pytest.approx(1.0)
+
+
+def brute(rows, name, aimed_only):
+    """Mean loss of each text under counts of all (target) texts less its own."""
+    texts = [(u, crossentropy.word_hashes((t or "").encode()), a) for u, t, a in rows]
+    counted = [w for _, w, a in texts if a or not aimed_only]
+    vocabulary = len({w for _, own, _ in texts for w in own.tolist()})
+    out = {}
+    for u, own, aimed in texts:
+        if not len(own):
+            continue
+        took, others = False, []
+        for w in counted:
+            if not took and (aimed or not aimed_only) and w is own:
+                took = True
+                continue
+            others.append(w)
+        pairs, words = np.zeros(crossentropy.CLASSES**2, int), {}
+        for w in others:
+            np.add.at(pairs, crossentropy.class_pairs(w)[2], 1)
+            for x in w.tolist():
+                words[x] = words.get(x, 0) + 1
+        model = crossentropy.Model(pairs, vocabulary)
+        out[u] = model.losses(own, np.array([words.get(x, 0) for x in own.tolist()]), False).mean()
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1 << 25, 300])
+def test_a_text_is_scored_by_the_others(spark, chunk):
+    """Whole and dealt to many chunks, one text longer than a chunk, against counts of all other texts."""
+    rng = random.Random(3)
+    rows = [(f"t{i}", f"red green blue {i}", True) for i in range(20)] + [(f"b{i}", f"up down left {i}", False) for i in range(30)]
+    rows += [(f"u{i}", " ".join(f"w{int(rng.paretovariate(0.6)) % 400}" for _ in range(rng.randint(1, 40))), i % 3 == 0) for i in range(30)]
+    rows += [("q1", "red green blue", False), ("q2", "up down left", False), ("n", None, None), ("e", "", True), ("long", "long words here " * 60, False)]
     df = spark.createDataFrame(rows, "URL string, `要約` string, target boolean")
-    got = {r["URL"]: r for r in crossentropy.cross_entropy_difference(df, df.where("target")).collect()}
-    assert got["q1"]["score"] < 0 < got["q2"]["score"]
+    got = {r["URL"]: r for r in crossentropy.cross_entropy_difference(df, df.where("target"), chunk=chunk).collect()}
+    assert got["q1"]["score"] < 0 < got["q2"]["score"] and len(got) == len(rows)
     assert (got["n"]["n_words"], got["n"]["score"], got["e"]["target_loss"]) == (0, 0.0, 0.0)
-    # brute force: counts of all other texts
-    others = [crossentropy.word_slots(t.encode()) for u, t, _ in rows if t and u != "q2"]
-    pairs = np.zeros(crossentropy.CLASSES**2, int)
-    words = np.zeros(crossentropy.WORDS, int)
-    for s in others:
-        np.add.at(pairs, crossentropy.class_pairs(s)[2], 1)
-        np.add.at(words, s, 1)
-    want = crossentropy.losses(crossentropy.word_slots(b"up down left"), crossentropy.Model(pairs, words), own=False).mean()
-    assert got["q2"]["background_loss"] == pytest.approx(want)
+    for name, aimed_only in (("background_loss", False), ("target_loss", True)):
+        for u, want in brute(rows, name, aimed_only).items():
+            assert got[u][name] == pytest.approx(want)
 
 
 def test_cross_entropy_of_awkward_rows(spark):
@@ -114,34 +142,6 @@ def test_cross_entropy_of_awkward_rows(spark):
     assert crossentropy.cross_entropy_difference(df.limit(0), df).count() == 0
 
 
-def test_all_chunks_count_in_both_models(spark, monkeypatch):
-    """Texts dealt to many chunks score as if counted whole, by brute force over words at the sizes of the corpus."""
-    monkeypatch.setattr(crossentropy, "WORD_BITS", 9)
-    rng = random.Random(3)
-    rows = [(f"u{i}", " ".join(f"w{int(rng.paretovariate(0.6)) % 400}" for _ in range(rng.randint(1, 40))), i % 3 == 0) for i in range(120)]
-    df = spark.createDataFrame(rows, "URL string, `要約` string, target boolean")
-    got = {r["URL"]: r for r in crossentropy.cross_entropy_difference(df, df.where("target"), chunk=300).collect()}
-    bits = crossentropy.sizes(sum(len(t.split()) for _, t, _ in rows))
-    assert bits[0] > 9
-    grams = {u: crossentropy._grams(crossentropy.word_slots(t.encode(), bits[0]), bits[1]) for u, t, _ in rows}
-    for name, column in (("background_loss", rows), ("target_loss", [r for r in rows if r[2]])):
-        counts = {}
-        for u, _, _ in column:
-            for g in grams[u].ravel().tolist():
-                counts[g] = counts.get(g, 0) + 1
-        total = sum(grams[u].shape[1] for u, _, _ in column)
-        for u, _, aimed in rows:
-            found = np.array([[counts.get(g, 0) for g in line] for line in grams[u].tolist()])
-            mine = crossentropy._own(grams[u]) if aimed or name == "background_loss" else None
-            assert got[u][name] == pytest.approx(crossentropy._losses(found, mine, total, bits).mean())
-
-
-def test_models_grow_with_the_corpus():
-    assert crossentropy.sizes(1000) == (20, 10)
-    assert crossentropy.sizes(4_000_000) == (22, 16)
-    assert crossentropy.sizes(1 << 30) == (31, 25)
-
-
 def test_token_counts_equal_the_library(spark):
     coder = Tokenizer.from_file(WORDS)
     for chunk in (7, 1 << 16):
