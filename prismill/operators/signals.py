@@ -1,65 +1,36 @@
 """Signal operators: rows ``(keys..., n, value)`` with n = 0, 1, 2, ... and a sample rate.
 
-A transform of a series of ordinary length is one numpy call on the series' array. A longer series is
-never gathered: its transform is split into many short ones (see ``long_transform``).
+Transforms are sums of products in plain columns: short groups of samples meet the turns of their frequencies. A long series is
+split into many short groups in two rounds, so its work grows with n * sqrt(n) and no task holds it.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Longest series whose values are held by one task (16 MB of doubles).
-MAX_POINTS = 1 << 21
-FLOOR = 1e-12
-
-
-def series_arrays(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One array of values per series, in order of n."""
-    gathered = F.sort_array(F.collect_list(F.struct("n", F.col("value").cast("double").alias("value"))))
-    return df.groupBy(*keys).agg(F.transform(gathered, lambda p: p["value"]).alias("values"))
-
-
-def split_by_length(df: DataFrame, keys: list[str], max_points: int) -> tuple[DataFrame, DataFrame, bool]:
-    """Series that fit one task, the longer ones, and whether there are any longer ones."""
-    lengths = df.groupBy(*keys).agg(F.count("*").alias("_size"))
-    long_keys = lengths.where(F.col("_size") > max_points).drop("_size")
-    if not long_keys.take(1):
-        return df, df.limit(0), False
-    return df.join(long_keys, keys, "left_anti"), df.join(long_keys, keys, "left_semi"), True
+from prismill.session import cut_lineage
 
-
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _amplitudes(values: pd.Series) -> pd.Series:
-    def one(v) -> np.ndarray:
-        out = np.abs(np.fft.rfft(np.asarray(v, dtype=float))) * 2 / len(v)
-        out[0] /= 2
-        return out
-
-    return values.map(one)
+FLOOR = 1e-12
+#: longest group whose sums are formed directly; lengths that leave longer ones go through a convolution
+MAX_GROUP = 2048
 
 
-def spectrum(df: DataFrame, keys: list[str], rate: float, max_points: int = MAX_POINTS) -> DataFrame:
+def spectrum(df: DataFrame, keys: list[str], rate: float) -> DataFrame:
     """Amplitude of every frequency up to half the rate, on the scale of the sine waves in the signal."""
-    short, long, any_long = split_by_length(df, keys, max_points)
-    rows = series_arrays(short, keys).withColumn("_n", F.size("values"))
-    out = rows.select(*keys, "_n", F.posexplode(_amplitudes("values")).alias("bin", "amplitude"))
-    if any_long:
-        sizes = long.groupBy(*keys).agg(F.count("*").alias("_n"))
-        turned = long_transform(long, keys).join(sizes, keys).where(F.col("n") <= F.floor(F.col("_n") / 2))
-        size = F.sqrt(F.col("re") ** 2 + F.col("im") ** 2) * 2 / F.col("_n")
-        out = out.unionByName(
-            turned.select(
-                *keys, F.col("_n").cast("int").alias("_n"), F.col("n").cast("int").alias("bin"),
-                F.when(F.col("n") == 0, size / 2).otherwise(size).alias("amplitude"),
-            )
-        )
-    return out.select(*keys, "bin", (F.col("bin") * F.lit(float(rate)) / F.col("_n")).alias("frequency"), "amplitude")
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    turned = long_transform(df, keys).join(sizes, keys).where(F.col("n") <= F.floor(F.col("_n") / 2))
+    size = F.sqrt(F.col("re") ** 2 + F.col("im") ** 2) * 2 / F.col("_n")
+    return turned.select(
+        *keys, F.col("n").cast("int").alias("bin"), (F.col("n") * F.lit(float(rate)) / F.col("_n")).alias("frequency"),
+        F.when(F.col("n") == 0, size / 2).otherwise(size).alias("amplitude"),
+    )
 
 
 def spectral_peaks(lines: DataFrame, keys: list[str], top: int = 5, min_amplitude: float = 0.05) -> DataFrame:
@@ -86,7 +57,8 @@ def spectrogram(df: DataFrame, keys: list[str], rate: float, window: int = 128)
     """Power in decibels per half-overlapping frame and frequency.
 
     A sample belongs to at most two frames, so a frame is a group of ``window`` rows whatever the
-    series' length. The taper is a Tukey window of shape 1/4, frames are centred on their mean.
+    series' length; its frequencies are sums over these rows. The taper is a Tukey window of shape 1/4, frames are
+    centred on their mean.
     """
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_size"))
     width = F.least(F.lit(window), F.greatest(F.lit(16), F.floor(F.col("_size") / 4))).cast("int")
@@ -96,101 +68,193 @@ def spectrogram(df: DataFrame, keys: list[str], rate: float, window: int = 128)
     high = F.floor(F.col("n") / hop)
     low = F.greatest(F.lit(0), F.ceil((F.col("n") - F.col("_w") + 1) / hop))
     framed = rows.withColumn("frame", F.explode(F.when(low <= F.least(high, last), F.sequence(low, F.least(high, last)))))
-    arrays = framed.groupBy(*keys, "frame", "_w").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("n", "value"))), lambda p: p["value"].cast("double")).alias("values")
+    framed = framed.withColumns({"_j": F.col("n") - F.col("frame") * hop, "value": F.col("value").cast("double")})
+    group = [*keys, "frame"]
+    tapered = framed.withColumn("_taper", _tukey(F.col("_j"), F.col("_w")))
+    centred = tapered.withColumn("_x", (F.col("value") - F.avg("value").over(Window.partitionBy(*group))) * F.col("_taper"))
+    met = centred.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("_w") / 2))))
+    angle = F.lit(2 * math.pi) * (F.col("_j") * F.col("_k") % F.col("_w")) / F.col("_w")
+    lines = met.groupBy(*group, "_w", "_k").agg(
+        F.sum(F.col("_x") * F.cos(angle)).alias("_re"), F.sum(F.col("_x") * F.sin(angle)).alias("_im"), F.sum("_taper").alias("_t")
+    )
+    power = (F.col("_re") ** 2 + F.col("_im") ** 2) / F.col("_t") ** 2
+    once = (F.col("_k") == 0) | (2 * F.col("_k") == F.col("_w"))
+    return lines.select(
+        *group, ((F.col("frame") * hop + F.col("_w") / 2) / F.lit(float(rate))).alias("time"),
+        (F.col("_k") * F.lit(float(rate)) / F.col("_w")).alias("frequency"),
+        (10 * F.log10(F.greatest(F.when(once, power).otherwise(2 * power), F.lit(FLOOR)))).alias("decibel"),
     )
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def power(values: pd.Series) -> pd.Series:
-        def one(v) -> np.ndarray:
-            x = np.asarray(v, dtype=float)
-            taper = _tukey(len(x))
-            lines = np.abs(np.fft.rfft((x - x.mean()) * taper)) ** 2 / taper.sum() ** 2
-            lines[1 : len(lines) - (1 if len(x) % 2 == 0 else 0)] *= 2
-            return 10 * np.log10(np.maximum(lines, FLOOR))
-
-        return values.map(one)
-
-    hop_rows = F.col("_w") - F.floor(F.col("_w") / 2)
-    return arrays.select(
-        *keys, "frame", "_w", ((F.col("frame") * hop_rows + F.col("_w") / 2) / F.lit(float(rate))).alias("time"),
-        F.posexplode(power("values")).alias("bin", "decibel"),
-    ).select(*keys, "frame", "time", (F.col("bin") * F.lit(float(rate)) / F.col("_w")).alias("frequency"), "decibel")
-
-
-def _tukey(n: int, shape: float = 0.25) -> np.ndarray:
-    # a window of n + 1 points without the last one, as spectral estimates use
-    x = np.arange(n)
-    edge = shape * n / 2
-    out = np.ones(n)
-    rise, fall = x < edge, x > n - edge
-    out[rise] = 0.5 * (1 + np.cos(np.pi * (x[rise] / edge - 1)))
-    out[fall] = 0.5 * (1 + np.cos(np.pi * ((x[fall] - n) / edge + 1)))
-    return out
 
+def _tukey(place: Column, width: Column, shape: float = 0.25) -> Column:
+    """A window of ``width`` + 1 points without the last one, as spectral estimates use."""
+    edge = F.lit(shape) * width / 2
+    near = F.least(place, width - place)
+    return F.when(near < edge, 0.5 * (1 + F.cos(F.pi() * (near / edge - 1)))).otherwise(F.lit(1.0))
 
-def _gain(bins: np.ndarray, n: int, rate: float, kind: str, low_hz: float, high_hz: float, order: int) -> np.ndarray:
-    """Squared Butterworth response, the effect of one pass forward and one backward."""
-    half = rate / 2
-    f = np.tan(np.minimum(np.pi * bins / n, np.pi / 2 - 1e-9))
-    edge = lambda hz: math.tan(math.pi * hz / 2)  # noqa: E731  hz as a share of half the rate
-    if kind in ("lowpass", "highpass"):
-        ratio = f / edge(float(np.clip(low_hz / half, 1e-4, 0.999)))
-        ratio = ratio if kind == "lowpass" else 1 / np.maximum(ratio, 1e-12)
-    elif kind == "bandpass":
-        a = float(np.clip(min(low_hz, high_hz) / half, 1e-4, 0.998))
-        b = float(np.clip(max(low_hz, high_hz) / half, a + 1e-4, 0.999))
-        wa, wb = edge(a), edge(b)
-        ratio = (f**2 - wa * wb) / (np.maximum(f, 1e-12) * (wb - wa))
+
+# --- recursive filters ---------------------------------------------------------------
+
+_CHUNK, _BLOCK = 32, 64  # samples a chunk, chunks a block
+
+
+def butterworth(kind: str, low: float, high: float, order: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Zeros, poles and gain of a digital Butterworth filter; edges are shares of half the rate."""
+    angles = np.pi * (2 * np.arange(1, order + 1) + order - 1) / (2 * order)
+    poles = np.exp(1j * angles)
+    edges = 4 * np.tan(np.pi * np.array([low, high]) / 2)  # bilinear map at a rate of 2
+    if kind == "lowpass":
+        zeros, poles, gain = np.zeros(0), poles * edges[0], edges[0] ** order
+    elif kind == "highpass":
+        zeros, poles, gain = np.zeros(order), edges[0] / poles, 1.0
     else:
-        raise ValueError(f"unknown filter {kind}")
-    return 1 / (1 + np.abs(ratio) ** (2 * order))
+        centre, width = np.sqrt(edges[0] * edges[1]), edges[1] - edges[0]
+        half = poles * width / 2
+        root = np.sqrt(half**2 - centre**2 + 0j)
+        zeros, poles, gain = np.zeros(order), np.concatenate([half + root, half - root]), width**order
+    back = np.concatenate([(4 + zeros) / (4 - zeros), -np.ones(len(poles) - len(zeros))])
+    gain *= float(np.real(np.prod(4 - zeros) / np.prod(4 - poles)))
+    return back, (4 + poles) / (4 - poles), gain
+
+
+class Recursion:
+    """A filter as an affine map of its delays: z' = A z + B x, y = d x + C z, and powers of it over runs of samples.
+
+    Each pair of poles turns and shrinks two delays of its own, so high powers stay exact where those of one long recursion would not.
+    """
+
+    def __init__(self, zeros: np.ndarray, poles: np.ndarray, gain: float):
+        self.order, self.direct = len(poles), gain
+        places, rows, enter, leave = 0, [], [], []
+        for k, pole in enumerate(poles):
+            if pole.imag < -1e-14:
+                continue  # goes with its mirror image
+            residue = gain * np.prod(pole - zeros) / np.prod(pole - np.delete(poles, k))
+            single = abs(pole.imag) <= 1e-14
+            rows.append((places, np.array([[pole.real]]) if single else np.array([[pole.real, -pole.imag], [pole.imag, pole.real]])))
+            enter += [1.0] if single else [1.0, 0.0]
+            leave += [residue.real] if single else [2 * residue.real, -2 * residue.imag]
+            places = len(enter)
+        self.step = np.zeros((places, places))
+        for at, part in rows:
+            self.step[at : at + len(part), at : at + len(part)] = part
+        self.input, output = np.array(enter), np.array(leave)
+        powers = [np.eye(places)]
+        for _ in range(_CHUNK):
+            powers.append(self.step @ powers[-1])
+        self.chunk = powers[_CHUNK]  # what a chunk does to the delays before it
+        self.block = np.linalg.matrix_power(self.chunk, _BLOCK)
+        self.into = np.array([powers[_CHUNK - 1 - j] @ self.input for j in range(_CHUNK)])  # what sample j leaves at the chunk's end
+        self.out = np.array([output @ powers[j] for j in range(_CHUNK)])  # what delays at the chunk's start give at sample j
+        self.response = np.array([gain, *(output @ powers[m - 1] @ self.input for m in range(1, _CHUNK))])
+        self.steady = np.linalg.solve(np.eye(places) - self.step, self.input)  # delays of a constant 1
+
+
+def _numbers(values: np.ndarray) -> Column:
+    return F.array(*[F.lit(float(v)) for v in values])
+
+
+def _product(left: Column, right: Column) -> Column:
+    return F.aggregate(F.zip_with(left, right, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+
+
+def _moved(state: Column, matrix: np.ndarray, added: Column) -> Column:
+    return F.array(*[sum((F.lit(float(c)) * F.get(state, F.lit(k)) for k, c in enumerate(row) if c), F.get(added, F.lit(i))) for i, row in enumerate(matrix)])
+
+
+def recursive_filter(df: DataFrame, keys: list[str], recursion: Recursion) -> DataFrame:
+    """One pass over ``n, value`` in order of n, with delays that have seen the first value forever.
+
+    Affine maps compose, so the recursion is a scan: every chunk of samples is summed up as what it leaves in the delays, chunks
+    as blocks; blocks hand their delays on, a row of a few numbers per two thousand samples; then all chunks go on by themselves.
+    """
+    group = [*keys, "chunk"]
+    placed = df.select(*keys, F.col("n").cast("bigint").alias("n"), F.col("value").cast("double").alias("value"))
+    placed = placed.withColumns({"chunk": F.floor(F.col("n") / _CHUNK), "j": F.col("n") % _CHUNK})
+    ordered = lambda name: F.sort_array(F.collect_list(F.struct("j", name)))
+    chunks = placed.groupBy(*group).agg(F.transform(ordered("value"), lambda p: p["value"]).alias("x"))
+    left = [_product(F.col("x"), _numbers(recursion.into[:, i])) for i in range(recursion.order)]
+    chunks = cut_lineage(chunks.withColumn("left", F.when(F.size("x") == _CHUNK, F.array(*left)).otherwise(_numbers(np.zeros(recursion.order)))))
+
+    nothing = _numbers(np.zeros(recursion.order))
+    within = chunks.select(*keys, F.floor(F.col("chunk") / _BLOCK).alias("block"), (F.col("chunk") % _BLOCK).alias("j"), "left", F.when(F.col("chunk") == 0, F.get("x", F.lit(0))).alias("first"))
+    blocks = within.groupBy(*keys, "block").agg(F.transform(ordered("left"), lambda p: p["left"]).alias("parts"), F.max("first").alias("first"))
+    move = lambda z, w: _moved(z, recursion.chunk, w)
+    blocks = cut_lineage(blocks.withColumn("left", F.aggregate("parts", nothing, move)))
+    entered = _handed_on(blocks.select(*keys, "block", "left", "first"), keys, recursion)
+    starts = blocks.join(entered, [*keys, "block"]).select(
+        *keys, "block",
+        F.posexplode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.aggregate(F.slice("parts", F.lit(1), i - 1), F.col("entered"), move))).alias("j", "z"),
+    )
+    starts = starts.select(*keys, (F.col("block") * _BLOCK + F.col("j")).alias("chunk"), "z")
+    response = _numbers(recursion.response[::-1])
+    outs = F.array(*[_numbers(row) for row in recursion.out])
+    heard = lambda j: _product(F.slice("x", F.lit(1), j + 1), F.slice(response, _CHUNK - j, j + 1))
+    y = F.transform(F.sequence(F.lit(0), F.size("x") - 1), lambda j: heard(j) + _product(F.get(outs, j), F.col("z")))
+    joined = chunks.join(starts, group)
+    return joined.select(*keys, "chunk", F.posexplode(y).alias("j", "value")).select(*keys, (F.col("chunk") * _CHUNK + F.col("j")).alias("n"), "value")
+
+
+def _handed_on(blocks: DataFrame, keys: list[str], recursion: Recursion) -> DataFrame:
+    """The delays with which each block starts, carried from block to block of a series."""
+    step, steady = recursion.block, recursion.steady
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        series, state = None, None
+        for batch in batches:
+            entered = []
+            names = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            for name, left, first in zip(names, batch.column("left").to_pylist(), batch.column("first").to_pylist(), strict=True):
+                if state is None or name != series:
+                    series, state = name, steady * first
+                entered.append(state.tolist())
+                state = step @ state + left
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (*keys, "block")], pa.array(entered, pa.list_(pa.float64()))], names=[*keys, "block", "entered"])
+
+    kinds = ", ".join(f"`{c}` {dict(blocks.dtypes)[c]}" for c in (*keys, "block"))
+    ordered = blocks.repartition(*keys).sortWithinPartitions(*keys, "block")
+    return ordered.mapInArrow(run, f"{kinds}, entered array<double>")
 
 
 def band_filter(
-    df: DataFrame, keys: list[str], rate: float, kind: str, low_hz: float = 10.0, high_hz: float = 50.0,
-    order: int = 4, max_points: int = MAX_POINTS,
+    df: DataFrame, keys: list[str], rate: float, kind: str, low_hz: float = 10.0, high_hz: float = 50.0, order: int = 4,
 ) -> DataFrame:
-    """Zero-phase low, high or band pass. The series is mirrored at both ends before the transform."""
+    """Zero-phase Butterworth low, high or band pass: the recursion forward, then backward.
+
+    Both ends are continued by their mirror image turned upside down, for three times the filter's length.
+    Series that are not longer than that are left out.
+    """
     if kind == "none":
         return df
-    short, long, any_long = split_by_length(df, keys, max_points)
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def filtered(values: pd.Series) -> pd.Series:
-        def one(v) -> np.ndarray:
-            x = np.asarray(v, dtype=float)
-            mirrored = np.concatenate([x, x[::-1]])
-            lines = np.fft.rfft(mirrored)
-            gain = _gain(np.arange(len(lines)), len(mirrored), rate, kind, low_hz, high_hz, order)
-            return np.fft.irfft(lines * gain, len(mirrored))[: len(x)]
-
-        return values.map(one)
-
-    out = series_arrays(short, keys).select(*keys, F.posexplode(filtered("values")).alias("n", "value"))
-    if any_long:
-        sizes = long.groupBy(*keys).agg(F.count("*").alias("_n"))
-        both = long.join(sizes, keys)
-        mirrored = both.select(
-            *keys, F.explode(F.array(F.col("n").cast("bigint"), 2 * F.col("_n") - 1 - F.col("n"))).alias("n"), "value"
-        )
-        lines = long_transform(mirrored, keys).join(sizes, keys)
-
-        @F.pandas_udf(T.DoubleType())
-        def gain(place: pd.Series, size: pd.Series) -> pd.Series:
-            n = size.to_numpy() * 2
-            k = np.minimum(place.to_numpy(), n - place.to_numpy())
-            return pd.Series(_gain(k, n, rate, kind, low_hz, high_hz, order))
-
-        passed = lines.withColumn("_g", gain("n", "_n")).select(
-            *keys, "n", (F.col("re") * F.col("_g")).alias("re"), (F.col("im") * F.col("_g")).alias("im")
-        )
-        back = long_transform(passed, keys, inverse=True).join(sizes, keys).where(F.col("n") < F.col("_n"))
-        out = out.unionByName(back.select(*keys, F.col("n").cast("int").alias("n"), F.col("re").alias("value")))
-    return out
-
-
-# --- transforms of series too long for one task -------------------------------------
+    if kind not in ("lowpass", "highpass", "bandpass"):
+        raise ValueError(f"unknown filter {kind}")
+    half = rate / 2
+    low, high = low_hz / half, high_hz / half
+    if kind == "bandpass":
+        low = float(np.clip(min(low_hz, high_hz) / half, 1e-4, 0.998))
+        high = float(np.clip(max(low_hz, high_hz) / half, low + 1e-4, 0.999))
+    else:
+        low = high = float(np.clip(low, 1e-4, 0.999))
+    recursion = Recursion(*butterworth(kind, low, high, order))
+    pad = 3 * (recursion.order + 1)
+    plain = df.select(*keys, F.col("n").cast("bigint").alias("n"), F.col("value").cast("double").alias("value"))
+    ends = plain.groupBy(*keys).agg(F.count("*").alias("_size"), F.min_by("value", "n").alias("_a"), F.max_by("value", "n").alias("_z")).where(F.col("_size") > pad)
+    sized = plain.join(ends, keys)
+    last = F.col("_size") - 1
+    own = F.struct((F.col("n") + pad).alias("n"), F.col("value").alias("value"))
+    before = F.struct((pad - F.col("n")).alias("n"), (2 * F.col("_a") - F.col("value")).alias("value"))
+    after = F.struct((2 * last - F.col("n") + pad).alias("n"), (2 * F.col("_z") - F.col("value")).alias("value"))
+    places = F.array_compact(F.array(
+        own, F.when((F.col("n") >= 1) & (F.col("n") <= pad), before), F.when((F.col("n") < last) & (F.col("n") >= last - pad), after),
+    ))
+    total = F.col("_size") + 2 * pad
+    ahead = recursive_filter(sized.select(*keys, F.inline(places)), keys, recursion).join(ends, keys)
+    turned = recursive_filter(ahead.select(*keys, (total - 1 - F.col("n")).alias("n"), "value"), keys, recursion).join(ends, keys)
+    place = total - 1 - F.col("n") - pad
+    return turned.select(*keys, place.cast("int").alias("n"), "value", "_size").where((F.col("n") >= 0) & (F.col("n") < F.col("_size"))).drop("_size")
+
+
+# --- transforms ----------------------------------------------------------------------
 
 
 def _split(n: int) -> int:
@@ -198,21 +262,16 @@ def _split(n: int) -> int:
     return next(d for d in range(math.isqrt(n), 0, -1) if n % d == 0)
 
 
-def _short_transforms(df: DataFrame, keys: list[str], group: str, place: str, sign: int) -> DataFrame:
-    """Transform each short group; adds its output position as ``_k``."""
-    out = T.StructType([df.schema[k] for k in keys] + [
-        T.StructField(group, T.LongType()), T.StructField("_size", T.LongType()), T.StructField("_k", T.LongType()),
-        T.StructField("re", T.DoubleType()), T.StructField("im", T.DoubleType()),
-    ])
-
-    def turn(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(place)
-        z = part["re"].to_numpy() + 1j * part["im"].to_numpy()
-        z = np.fft.fft(z) if sign < 0 else np.fft.ifft(z) * len(z)
-        frame = part[[*keys, group, "_size"]].copy()
-        return frame.assign(_k=np.arange(len(z)), re=z.real, im=z.imag)[out.fieldNames()]
+def _short_transforms(df: DataFrame, keys: list[str], group: str, place: str, length: str, sign: int) -> DataFrame:
+    """Transform each short group of ``length`` rows; its output position is ``_k``.
 
-    return df.groupBy(*keys, group).applyInPandas(turn, out)
+    Rows are dealt by group first, so that the products of a group are summed where they are made.
+    """
+    dealt = df.repartition(*keys, group)
+    met = dealt.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(length) - 1)))
+    angle = F.lit(sign * 2 * math.pi) * (F.col(place) * F.col("_k") % F.col(length)) / F.col(length)
+    re, im = _turned(F.col("re"), F.col("im"), angle)
+    return met.groupBy(*keys, group, "_size", "_a", "_k").agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
 
 
 def _turned(re: Column, im: Column, angle: Column) -> tuple[Column, Column]:
@@ -226,16 +285,15 @@ def _composite_transform(df: DataFrame, keys: list[str], sign: int) -> DataFrame
     sizes = df.groupBy(*keys).agg(F.count("*").cast("bigint").alias("_size")).withColumn("_a", divisor("_size"))
     b = F.floor(F.col("_size") / F.col("_a"))
     rows = df.join(sizes, keys).withColumns({"_col": F.col("n") % b, "_row": F.floor(F.col("n") / b)})
-    first = _short_transforms(rows.select(*keys, "_col", "_row", "_size", "re", "im"), keys, "_col", "_row", sign)
+    first = _short_transforms(rows.select(*keys, "_col", "_row", "_size", "_a", "re", "im"), keys, "_col", "_row", "_a", sign)
     angle = F.lit(sign * 2 * math.pi) * (F.col("_col") * F.col("_k") % F.col("_size")) / F.col("_size")
     re, im = _turned(F.col("re"), F.col("im"), angle)
-    twisted = first.select(*keys, F.col("_k").alias("_row"), "_col", "_size", re.alias("re"), im.alias("im"))
-    second = _short_transforms(twisted, keys, "_row", "_col", sign)
-    a = sizes.select(*keys, "_a")
-    return second.join(a, keys).select(*keys, (F.col("_row") + F.col("_a") * F.col("_k")).alias("n"), "re", "im")
+    twisted = first.select(*keys, F.col("_k").alias("_row"), "_col", "_size", "_a", b.alias("_b"), re.alias("re"), im.alias("im"))
+    second = _short_transforms(twisted, keys, "_row", "_col", "_b", sign)
+    return second.select(*keys, (F.col("_row") + F.col("_a") * F.col("_k")).alias("n"), "re", "im")
 
 
-def long_transform(df: DataFrame, keys: list[str], inverse: bool = False, max_group: int = 1 << 16) -> DataFrame:
+def long_transform(df: DataFrame, keys: list[str], inverse: bool = False, max_group: int = MAX_GROUP) -> DataFrame:
     """Discrete Fourier transform of any length without gathering a series.
 
     ``df`` has ``n`` and ``value`` or ``re, im``. Lengths with a divisor near their root take two

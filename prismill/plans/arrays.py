@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from prismill.functions.rounding import settled_sql
@@ -200,11 +201,48 @@ def spectral_peaks(spark, folder):
     return out.select("series", "rank", "bin", F.round("frequency", 6).alias("frequency"), F.round("amplitude", 5).alias("amplitude"))
 
 
-@query("spectrogram", "G03")
+@query(
+    "spectrogram",
+    "G03",
+    f"""WITH {HOURLY}, wd AS (SELECT series, len, least(128, greatest(16, len // 4)) AS w FROM (SELECT series, count(*) AS len FROM sg GROUP BY 1)),
+    fr AS (SELECT series, w, w - w // 2 AS hop, unnest(range((len - w) // (w - w // 2) + 1)) AS frame FROM wd),
+    pt AS (SELECT fr.series, frame, w, hop, sg.n - frame * hop AS j, value - avg(value) OVER (PARTITION BY fr.series, frame) AS v
+      FROM fr JOIN sg ON sg.series = fr.series AND sg.n >= frame * hop AND sg.n < frame * hop + w),
+    tp AS (SELECT *, CASE WHEN least(j, w - j) < w / 8 THEN 0.5 * (1 + cos(pi() * (least(j, w - j) / (w / 8) - 1))) ELSE 1 END AS taper FROM pt),
+    li AS (SELECT series, frame, w, hop, k, sum(v * taper * cos(2 * pi() * ((j * k) % w) / w)) AS re, sum(v * taper * sin(2 * pi() * ((j * k) % w) / w)) AS im, sum(taper) AS t
+      FROM tp, range(65) AS r(k) WHERE k <= w // 2 GROUP BY ALL)
+    SELECT series, frame, round((frame * hop + w / 2) / 24, 6) AS time, round(k * 24.0::DOUBLE / w, 6) AS frequency,
+      round(10 * log10(greatest((re * re + im * im) / (t * t) * (CASE WHEN k = 0 OR 2 * k = w THEN 1 ELSE 2 END), 1e-12)), 4) AS decibel FROM li""",
+)
 def spectrogram(spark, folder):
-    return S.spectrogram(hourly(spark, folder), ["series"], 24.0, 128)
+    out = S.spectrogram(hourly(spark, folder), ["series"], 24.0, 128)
+    return out.select("series", "frame", F.round("time", 6).alias("time"), F.round("frequency", 6).alias("frequency"), F.round("decibel", 4).alias("decibel"))
 
 
 @query("band_filter", "G04")
 def band_filter(spark, folder):
-    return S.band_filter(hourly(spark, folder), ["series"], 24.0, "lowpass", low_hz=2.0)
+    return S.band_filter(hourly(spark, folder), ["series"], 24.0, "bandpass", low_hz=0.5, high_hz=2.0)
+
+
+_ZEROS, _POLES, _GAIN = S.butterworth("lowpass", 2 / 12, 2 / 12, 4)
+_B, _A = np.real(_GAIN * np.poly(_ZEROS)), np.real(np.poly(_POLES))
+_EDGE = 240  # hours after which nothing is left of the ends
+
+
+@query(
+    "band_filter_inside",
+    "G04",
+    f"""WITH RECURSIVE {HOURLY},
+    im AS (SELECT 0 AS m, {_B[0]!s}::DOUBLE AS y, {", ".join(f"{_B[i]!s} - ({_A[i]!s}) * {_B[0]!s}::DOUBLE AS z{i}" for i in range(1, 5))}
+      UNION ALL SELECT m + 1, z1, z2 - ({_A[1]!s}) * z1, z3 - ({_A[2]!s}) * z1, z4 - ({_A[3]!s}) * z1, -({_A[4]!s}) * z1 FROM im WHERE m < 119),
+    fo AS (SELECT series, n + m AS n, sum(y * value) AS value FROM sg, im GROUP BY 1, 2),
+    ba AS (SELECT series, n - m AS n, sum(y * value) AS value FROM fo, im GROUP BY 1, 2),
+    sz AS (SELECT series, count(*) AS len FROM sg GROUP BY 1)
+    SELECT series, CAST(n AS INT) AS n, round(value, 5) AS value FROM ba JOIN sz USING (series) WHERE n >= {_EDGE} AND n < len - {_EDGE}""",
+)
+def band_filter_inside(spark, folder):
+    """The low pass where the ends are not felt: there it is the response to each sample, forward and backward."""
+    rows = hourly(spark, folder)
+    sizes = rows.groupBy("series").agg(F.count("*").alias("len"))
+    out = S.band_filter(rows, ["series"], 24.0, "lowpass", low_hz=2.0).join(sizes, "series")
+    return out.where((F.col("n") >= _EDGE) & (F.col("n") < F.col("len") - _EDGE)).select("series", "n", F.round("value", 5).alias("value"))

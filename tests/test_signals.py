@@ -33,14 +33,56 @@ def test_long_transform_equals_fft(spark, n):
     np.testing.assert_allclose(got["im"], want.imag, atol=1e-8)
 
 
-def test_long_series_take_the_split_path(spark):
-    v, df = tones(spark, 600)
-    short = S.spectrum(df, ["series"], 500).orderBy("bin").toPandas()
-    long = S.spectrum(df, ["series"], 500, max_points=100).orderBy("bin").toPandas()
-    np.testing.assert_allclose(short["amplitude"], long["amplitude"], atol=1e-9)
-    a = S.band_filter(df, ["series"], 500, "lowpass", low_hz=10).orderBy("n").toPandas()
-    b = S.band_filter(df, ["series"], 500, "lowpass", low_hz=10, max_points=100).orderBy("n").toPandas()
-    np.testing.assert_allclose(a["value"], b["value"], atol=1e-8)
+@pytest.mark.parametrize("n", [600, 601, 17])
+def test_spectrum_equals_fft(spark, n):
+    v, df = tones(spark, n)
+    got = S.spectrum(df, ["series"], 500).orderBy("bin").toPandas()
+    want = np.abs(np.fft.rfft(v)) * 2 / n
+    want[0] /= 2
+    np.testing.assert_allclose(got["amplitude"], want, atol=1e-9)
+    np.testing.assert_allclose(got["frequency"], np.fft.rfftfreq(n, 1 / 500))
+
+
+def coefficients(zeros, poles, gain):
+    return np.real(gain * np.poly(zeros)), np.real(np.poly(poles))
+
+
+def one_pass(x, b, a, z):
+    """The recursion sample by sample."""
+    out, z = [], np.array(z, float)
+    for v in x:
+        y = b[0] * v + z[0]
+        z = np.append(z[1:], 0.0) + b[1:] * v - a[1:] * y
+        out.append(y)
+    return np.array(out)
+
+
+@pytest.mark.parametrize("kind, edges, n", [("lowpass", (10, 0), 5000), ("highpass", (40, 0), 333), ("bandpass", (15, 26), 4200), ("lowpass", (90, 0), 16)])
+def test_filter_equals_the_recursion(spark, kind, edges, n):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=n).cumsum()
+    df = spark.createDataFrame(pd.DataFrame({"series": ["a"] * n, "n": np.arange(n), "value": x}))
+    got = S.band_filter(df, ["series"], 500, kind, *edges).orderBy("n").toPandas()
+    low, high = (edges[0] / 250, edges[1] / 250)
+    design = S.butterworth(kind, low, high or low, 4)
+    recursion, (b, a) = S.Recursion(*design), coefficients(*design)
+    state = np.linalg.solve(np.eye(len(a) - 1) - (np.eye(len(a) - 1, k=1) - np.outer(a[1:], np.eye(len(a) - 1)[0])), b[1:] - a[1:] * b[0])
+    assert recursion.order == len(a) - 1
+    pad = 3 * len(a)
+    long = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
+    once = one_pass(long, b, a, state * long[0])[::-1]
+    want = one_pass(once, b, a, state * once[0])[::-1][pad : pad + n]
+    assert list(got["n"]) == list(range(n))
+    np.testing.assert_allclose(got["value"], want, rtol=1e-6, atol=1e-6 * np.abs(x).max())
+
+
+def test_butterworth_has_its_response():
+    for kind, low, high, half_power in (("lowpass", 0.2, 0.2, (0.2,)), ("highpass", 0.3, 0.3, (0.3,)), ("bandpass", 0.1, 0.25, (0.1, 0.25))):
+        b, a = coefficients(*S.butterworth(kind, low, high, 4))
+        at = lambda w: abs(np.polyval(b, np.exp(1j * np.pi * w)) / np.polyval(a, np.exp(1j * np.pi * w)))
+        assert all(at(w) == pytest.approx(np.sqrt(0.5), rel=1e-6) for w in half_power)
+        passed = {"lowpass": 0.01, "highpass": 0.9, "bandpass": 0.16}[kind]
+        assert at(passed) == pytest.approx(1, abs=2e-2) and at(0.6 if kind == "lowpass" else 0.02) < 0.02
 
 
 def test_filters(spark):
