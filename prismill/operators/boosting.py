@@ -286,28 +286,30 @@ def coded(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _cut_points(rows: DataFrame, keys: list[str], features: Column, width: int, plan: Plan, bins: int) -> DataFrame:
-    """Per key and fold model the quantiles of every feature over the rows the model learns from."""
+def _cut_points(rows: DataFrame, keys: list[str], features: Column, width: int, plan: Plan, bins: int, own: bool) -> DataFrame:
+    """Per key and fold model the quantiles of every feature over the rows the model learns from, and their mean target.
+
+    ``own``: the features of model 0, 1, ... follow each other.
+    """
     shares = F.lit([i / bins for i in range(1, bins)])
     columns = []
     for model in range(plan.folds):
         learns = F.lit(True) if plan.folds == 1 and not plan.rolling else F.col("fold") < model + 1 if plan.rolling else F.col("fold") != model
-        columns += [
-            F.percentile_approx(F.when(learns & ~F.isnan(F.get(features, F.lit(j))), F.get(features, F.lit(j))), shares, 20_000).alias(f"c{model}_{j}")
-            for j in range(width)
-        ]
-    mean = [F.avg(F.when(F.lit(True) if plan.folds == 1 and not plan.rolling else F.col("fold") < m + 1 if plan.rolling else F.col("fold") != m, F.col("target"))).alias(f"m{m}") for m in range(plan.folds)]
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *mean, *columns)
+        columns.append(F.avg(F.when(learns, F.col("target"))).alias(f"m{model}"))
+        for j in range(width):
+            value = F.get(features, F.lit(model * width + j if own else j))
+            columns.append(F.percentile_approx(F.when(learns & ~F.isnan(value), value), shares, 20_000).alias(f"c{model}_{j}"))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *columns)
 
 
 def fit(
     rows: DataFrame, keys: list[str], names: list[str], target: str = "target", fold: str | None = None, folds: int = 1, rolling: bool = False,
-    row_id: str | None = None, settings: Settings = Settings(),
+    row_id: str | None = None, settings: Settings = Settings(), views: list[str] | None = None,
 ) -> Boosted:
     """Boost one model per key and fold, all in the same jobs.
 
     ``fold`` is the row's fold: with ``rolling`` (1..folds, 0 only trains) model i learns from the folds before it; else (0..folds - 1)
-    from all others. Cut points are quantiles of the rows that a model learns from. Targets of a classification are class numbers.
+    from all others. ``views`` names an array column per fold model, if each sees features of its own. Cut points are quantiles of the rows that a model learns from. Targets of a classification are class numbers.
     ``blocks`` of the result keeps every row's score by the models, under its ``row_id``.
 
     A pass sends the trees to the blocks of rows, which count their leaves; leaves of keys that lie in one block are decided there, others
@@ -319,7 +321,7 @@ def fit(
     context = spark.sparkContext
     checkpoint_folder(spark)
     plan = Plan(folds, rolling)
-    x = F.array(*[F.col(n).cast("double") for n in names])
+    x = F.flatten(F.array(*views)) if views else F.array(*[F.col(n).cast("double") for n in names])
     number = F.col(row_id).cast("long") if row_id else F.lit(0).cast("long")
     base = rows.select(
         *keys, (F.col(fold).cast("int") if fold else F.lit(0)).alias("fold"), F.col(target).cast("double").alias("target"), number.alias("row"),
@@ -327,7 +329,7 @@ def fit(
     ).where("target IS NOT NULL")
     base = base.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        facts = _cut_points(base, keys, F.col("x"), len(names), plan, settings.bins).collect()  # one row per key
+        facts = _cut_points(base, keys, F.col("x"), len(names), plan, settings.bins, views is not None).collect()  # one row per key
         facts.sort(key=lambda r: tuple((r[k] is not None, r[k]) for k in keys))
         places = [tuple(r[k] for k in keys) for r in facts]
         cuts, start, sizes = {}, {}, {}
@@ -404,14 +406,14 @@ def _blocks(base: DataFrame, keys, places, cuts, start, plan: Plan, settings: Se
             return
         table = pa.Table.from_batches(parts)
         key = np.array([at[p] for p in zip(*(table.column(k).to_pylist() for k in keys))] if keys else [0] * len(table), np.int32)
-        x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), width)
+        x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
         fold = table.column("fold").to_numpy()
         codes = np.empty((len(table), plan.folds, width), np.uint8)
         score = np.empty((len(table), plan.folds, settings.classes))
         for k in np.unique(key):
             own = np.flatnonzero(key == k)
             for m in range(plan.folds):
-                codes[own, m] = coded(x[own], cuts[int(k), m])
+                codes[own, m] = coded(x[own, m * width : (m + 1) * width] if x.shape[1] > width else x[own], cuts[int(k), m])
                 score[own, m] = [start[int(k), m, part] for part in range(settings.classes)]
         block = Block(key, fold, table.column("target").to_numpy(), codes, score, table.column("row").to_numpy())
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block)], pa.binary())], names=["block"])

@@ -2,57 +2,104 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismill.functions.keys import MODULUS, scatter
-from prismill.operators import models
+from prismill.operators import boosting, models
 from prismill.operators.forecasting import regression_scores
-from prismill.operators.ordering import shuffled_rank
+from prismill.operators.ordering import _range_count
 from prismill.operators.profile import sample_rows
 
 
+def shifted_donors(df: DataFrame, row_id: str, columns: list[str], shifts: int, seed: int = 0) -> DataFrame:
+    """Add ``donors``: for each row the ``columns`` of the rows 1, 2, ... ``shifts`` places later in a shuffled circle of all rows.
+
+    Rows of one id follow each other in the order of their columns.
+    The circle is cut into ranges of the shuffled key, whose bounds are arithmetic. One window per range shifts within it; what
+    it lacks at its end are the first rows of the ranges that follow, a few rows a range.
+    """
+    ranges = _range_count(df)
+    place = F.floor(F.col("_scatter") * F.lit(ranges) / F.lit(MODULUS)).cast("int")
+    spread = df.withColumn("_scatter", scatter(row_id, seed)).withColumn("_range", place)
+    order = Window.partitionBy("_range").orderBy("_scatter", row_id, *columns, *[c for c in df.columns if c not in (row_id, *columns)])
+    own = F.struct(*columns)
+    ordered = spread.withColumns({
+        "_own": own, "_n": F.row_number().over(order),
+        "_next": F.collect_list(own).over(order.rowsBetween(1, shifts)),
+    })
+    heads = ordered.where(F.col("_n") <= shifts).groupBy("_range").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "_own"))), lambda h: h["_own"]).alias("_heads"))
+    # a row per range and turn of the circle: the last range is followed by the first, even if all hold few rows
+    turns = heads.select("_range", "_heads", F.explode(F.sequence(F.lit(0), F.lit(shifts))).alias("_turn"))
+    later = Window.partitionBy(F.lit(0)).orderBy("_turn", "_range").rowsBetween(1, shifts)
+    follow = turns.withColumn("_follow", F.flatten(F.collect_list("_heads").over(later))).where("_turn = 0").select(F.col("_range").alias("_of"), "_follow")
+    joined = ordered.join(follow, ordered["_range"] == follow["_of"])
+    donors = F.slice(F.concat("_next", "_follow"), 1, shifts)
+    return joined.withColumn("donors", donors).drop("_scatter", "_range", "_own", "_n", "_next", "_of", "_follow")
+
+
 def permutation_importance(
     model: models.TabularModel, df: DataFrame, columns: list[str], row_id: str, repeats: int = 5, seed: int = 0
 ) -> DataFrame:
     """Score lost when a column's values change places, mean and population deviation over repeats.
 
-    Per repeat every row meets one donor row, by joining two shuffled positions. All columns and repeats are
-    scored in one pass of the model and one aggregate.
+    In repeat r every row takes the column from the row r places later in a shuffled circle. ``model`` adds ``prediction`` and
+    ``label`` to rows and names its ``task`` and ``target``. All columns and repeats are scored in one pass of the model and
+    one aggregate; rows whose value stays the same are scored once with the unchanged table.
     """
     target = model.target
     base = df.select(row_id, target, *columns)
-    shuffles = []
-    for r in range(repeats):
-        here = shuffled_rank(base, [], row_id, "_pos", seed + 2 * r)
-        donor = shuffled_rank(base, [], row_id, "_pos", seed + 2 * r + 1)
-        donor = donor.select("_pos", *[F.col(c).alias(f"_d_{c}") for c in columns])
-        shuffles.append(here.join(donor, "_pos").withColumn("repeat", F.lit(r)))
-    joined = shuffles[0]
-    for part in shuffles[1:]:
-        joined = joined.unionByName(part)
-    variants = F.array(*[F.lit(c) for c in columns])
-    long = joined.withColumn("shuffled", F.explode(variants))
-    mixed = long.select(
-        row_id, target, "repeat", "shuffled",
-        *[F.when(F.col("shuffled") == c, F.col(f"_d_{c}")).otherwise(F.col(c)).alias(c) for c in columns],
+    given = shifted_donors(base, row_id, columns, repeats, seed)
+    variants = F.array(F.struct(F.lit(None).cast("string").alias("shuffled"), F.lit(-1).alias("repeat")), *[
+        F.struct(F.lit(c).alias("shuffled"), F.lit(r).alias("repeat")) for c in columns for r in range(repeats)
+    ])
+    donor = F.get("donors", F.col("_v.repeat"))
+    long = given.withColumn("_v", F.explode(variants))
+    changed = F.lit(False)
+    for c in columns:
+        changed = changed | ((F.col("_v.shuffled") == c) & ~donor[c].eqNullSafe(F.col(c)))
+    mixed = long.where(F.col("_v.shuffled").isNull() | changed).select(
+        row_id, target, "_v.shuffled", "_v.repeat", F.col("donors"),
+        *[F.when(F.col("_v.shuffled") == c, donor[c]).otherwise(F.col(c)).alias(c) for c in columns],
+        F.struct(*columns).alias("_old"),
     )
+    # an unchanged row counts for all variants that leave it as it is
+    same_rows = [
+        F.struct(F.lit(c).alias("shuffled"), F.lit(r).alias("repeat")) for c in columns for r in range(repeats)
+    ]
+    kept = F.filter(F.array(*same_rows), lambda v: _unchanged(v, columns))
+    scored = model.transform(mixed).withColumn("_v", F.explode(F.when(
+        F.col("shuffled").isNull(), F.concat(F.array(F.struct("shuffled", "repeat")), kept)
+    ).otherwise(F.array(F.struct("shuffled", "repeat")))))
     if model.task == models.CLASSIFICATION:
         value = F.avg((F.col("prediction") == F.col("label")).cast("double"))
     else:
         value = regression_scores(F.col("label"), F.col("prediction"))[0]
-    whole = model.transform(base).agg(value.alias("s")).scalar()
-    scores = model.transform(mixed).groupBy("shuffled", "repeat").agg(value.alias("score"))
+    scores = scored.groupBy("_v.shuffled", "_v.repeat").agg(value.alias("score"))
+    whole = F.max(F.when(F.col("shuffled").isNull(), F.col("score"))).over(Window.partitionBy(F.lit(0)))
     return (
-        scores.withColumn("_drop", whole - F.col("score"))
+        scores.withColumn("_drop", whole - F.col("score")).where("shuffled IS NOT NULL")
         .groupBy(F.col("shuffled").alias("feature"))
         .agg(F.avg("_drop").alias("drop"), F.stddev_pop("_drop").alias("spread"))
         .orderBy(F.desc("drop"), "feature")
     )
 
 
+def _unchanged(variant: Column, columns: list[str]) -> Column:
+    donor = F.get("donors", variant["repeat"])
+    out = F.lit(False)
+    for c in columns:
+        out = out | ((variant["shuffled"] == c) & donor[c].eqNullSafe(F.col("_old")[c]))
+    return out
+
+
 def unused_features(importance: DataFrame) -> DataFrame:
     return importance.where(F.col("drop") <= 0).select("feature", "drop")
 
@@ -118,6 +165,113 @@ def contributions(
     )
 
 
+# --- exact contributions to boosted trees ---------------------------------------------
+
+
+def leaf_boxes(tree: boosting.Tree) -> list[tuple[float, dict[int, tuple[int, int]]]]:
+    """Per leaf its value and, by feature of its path, the bins (above, up to) that lead to it."""
+    out, queue = [], [(0, {})]
+    while queue:
+        node, box = queue.pop()
+        feature = tree.feature[node]
+        if feature < 0:
+            out.append((tree.value[node], box))
+            continue
+        low, high = box.get(feature, (-1, 1 << 30))
+        queue += [
+            (tree.left[node], {**box, feature: (low, min(high, tree.bin[node]))}),
+            (tree.left[node] + 1, {**box, feature: (max(low, tree.bin[node]), high)}),
+        ]
+    return out
+
+
+def _shares(up: np.ndarray, down: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a feature earns that only the row meets, of ``up`` such and ``down`` that only the other row meets; and what one of those costs."""
+    facts = np.array([math.factorial(i) for i in range(64)], float)
+    whole = facts[up + down]
+    return np.where(up > 0, facts[np.maximum(up - 1, 0)] * facts[down] / whole, 0.0), np.where(down > 0, facts[up] * facts[np.maximum(down - 1, 0)] / whole, 0.0)
+
+
+def explain_codes(codes: np.ndarray, others: np.ndarray, boxes: list[list[tuple[float, dict[int, tuple[int, int]]]]], width: int) -> np.ndarray:
+    """Shapley values of the trees' sum for rows of bins, against the mean of the ``others``.
+
+    A leaf counts for a mixture of two rows if each feature of its path is met by the row it is taken from. So per leaf a row is the
+    set of path features it meets; each set that occurs is worked out once against all others.
+    """
+    out = np.zeros((len(codes), width))
+    for leaves in boxes:
+        for value, box in leaves:
+            if not box or value == 0:
+                continue
+            features = list(box)
+            bits = 1 << np.arange(len(features))
+            met, others_met = (
+                np.stack([(x[:, f] > low) & (x[:, f] <= high) for f, (low, high) in box.items()], axis=1) for x in (codes, others)
+            )
+            sets, where = np.unique(met @ bits, return_inverse=True)
+            rest, times = np.unique(others_met @ bits, return_counts=True)
+            mine = (sets[:, None] & bits) > 0
+            theirs = (rest[:, None] & bits) > 0
+            reached = (mine[:, None, :] | theirs[None]).all(axis=2)
+            only = mine[:, None, :] & ~theirs[None]
+            lacks = theirs[None] & ~mine[:, None, :]
+            gain, loss = _shares(only.sum(axis=2), lacks.sum(axis=2))
+            weight = np.where(reached, times / len(others), 0.0)
+            shares = value * ((only * (weight * gain)[:, :, None]).sum(axis=1) - (lacks * (weight * loss)[:, :, None]).sum(axis=1))
+            out[:, features] += shares[where.ravel()]
+    return out
+
+
+def tree_contributions(model: models.TabularModel, df: DataFrame, row_id: str, background: int = 100, class_index: int = 1, seed: int = 0) -> DataFrame:
+    """Shapley values of all rows under boosted trees, exact against a background of ``background`` rows.
+
+    What is explained is the sum of the trees: the prediction of a regression, the log odds of two classes, a class's score of more. Rows
+    that fall into the same bins are one: each different row of bins is explained once, and the result joined back.
+    Output: row, feature, value, contribution, base and prediction; per row contributions sum to prediction minus base.
+    """
+    fitted, names = model.model.fitted, model.prep.columns()
+    part = class_index if fitted.settings.classes > 1 else 0
+    cuts = fitted.cuts[0, 0]
+    boxes = [leaf_boxes(grown[0, 0, part]) for grown in fitted.trees]
+    start = fitted.start[0, 0, part]
+
+    @F.pandas_udf("binary")
+    def code(rows: pd.Series) -> pd.Series:
+        if rows.empty:
+            return pd.Series([], dtype=object)
+        return pd.Series([c.tobytes() for c in boosting.coded(np.stack([np.asarray(r, float) for r in rows]), cuts)], index=rows.index)
+
+    ready = model.prep.transform(df)
+    coded = ready.select(F.col(row_id).alias("row"), vector_to_array("features").alias("x")).withColumn("code", code("x"))
+    pool = [r["code"] for r in sample_rows(coded.select("row", "code"), background, "row", seed + 1).collect()]  # at most ``background``
+    others = np.frombuffer(b"".join(bytes(c) for c in pool), np.uint8).reshape(-1, len(names))
+    sent = df.sparkSession.sparkContext.broadcast((boxes, others))
+
+    def sums(codes: np.ndarray) -> np.ndarray:
+        total = np.full(len(codes), start)
+        for grown in fitted_trees:
+            total += grown[3][boosting.leaf_of(grown, codes)]
+        return total
+
+    fitted_trees = [grown[0, 0, part].arrays() for grown in fitted.trees]
+    base = float(sums(others).mean()) if len(others) else start
+
+    def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths, rest = sent.value
+        for batch in batches:
+            own = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, len(names))
+            if len(own):
+                values = explain_codes(own, rest, paths, len(names))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(list(values), pa.list_(pa.float64())), pa.array(sums(own))], names=["code", "shares", "prediction"]
+                )
+
+    different = coded.select("code").distinct().mapInArrow(explain, "code binary, shares array<double>, prediction double")
+    joined = coded.join(different, "code")
+    each = F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("feature"), F.col("x").alias("value"), F.col("shares").alias("contribution"))
+    return joined.select(F.col("row").alias(row_id), F.inline(each), F.lit(base).alias("base"), "prediction")
+
+
 def _output(model: models.TabularModel, class_index: int) -> Column:
     if model.task == models.CLASSIFICATION:
         return F.get(vector_to_array("probability"), F.lit(class_index))

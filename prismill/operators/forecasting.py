@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prismill.operators import boosting
 from prismill.operators.series import by_time
 
 # The horizons a sweep tries.
@@ -238,6 +239,15 @@ def _by_series(rows: DataFrame, keys: list[str]):
     return rows.groupBy(*keys)
 
 
+def _all_horizons(series: DataFrame, keys: list[str], horizons: tuple[int, ...], splits: int, **features) -> tuple[DataFrame, list[str]]:
+    """Features of all horizons that have enough rows as one table, and the features' names."""
+    group = [*keys, "horizon"]
+    tables = [make_features(series, keys, horizon=h, **features).withColumn("horizon", F.lit(h)) for h in horizons]
+    names = [c for c in tables[0].columns if c not in (*group, "ts", "value", "target")]
+    rows = reduce(DataFrame.unionByName, tables).withColumn("_n", F.count("*").over(Window.partitionBy(*group)))
+    return rows.where(F.col("_n") >= 2 * splits).drop("_n"), names
+
+
 def ridge_sweep(
     series: DataFrame, keys: list[str], horizons: tuple[int, ...] = HORIZONS, splits: int = 5, alpha: float = 1.0, **features,
 ) -> DataFrame:
@@ -247,10 +257,8 @@ def ridge_sweep(
     that leave fewer than two rows per split are skipped.
     """
     group = [*keys, "horizon"]
-    tables = [make_features(series, keys, horizon=h, **features).withColumn("horizon", F.lit(h)) for h in horizons]
-    names = [c for c in tables[0].columns if c not in (*group, "ts", "value", "target")]
-    rows = reduce(DataFrame.unionByName, tables).withColumn("_n", F.count("*").over(Window.partitionBy(*group)))
-    out_of_fold = ridge_predictions(rows.where(F.col("_n") >= 2 * splits).drop("_n"), group, names, splits, alpha)
+    rows, names = _all_horizons(series, keys, horizons, splits, **features)
+    out_of_fold = ridge_predictions(rows, group, names, splits, alpha)
     folds = score_predictions(out_of_fold, group, "ridge")
     return folds.groupBy(*group, "method").agg(F.avg("r2").alias("r2"), F.avg("rmse").alias("rmse"), F.avg("mae").alias("mae"))
 
@@ -269,41 +277,34 @@ def ridge_importance(features: DataFrame, keys: list[str], names: list[str], alp
     return _by_series(features, keys).applyInPandas(fit, out)
 
 
-def _boosted(trees: int, rate: float, depth: int, seed: int):
-    from pyspark.ml.regression import GBTRegressor
-
-    return GBTRegressor(labelCol="target", featuresCol="features", maxIter=trees, stepSize=rate, maxDepth=depth, seed=seed)
-
+def boosted_predictions(
+    features: DataFrame, keys: list[str], names: list[str], splits: int = 5, settings: boosting.Settings = boosting.Settings(),
+) -> DataFrame:
+    """Out-of-fold boosted-tree forecasts, a model per series and fold, all of them grown by the same jobs."""
+    moment = features.schema["ts"].dataType
+    placed = with_test_fold(features, keys, splits).withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
+    fitted = boosting.fit(placed, keys, names, "target", "fold", splits, True, "_at", settings)
+    out = boosting.out_of_fold(fitted, features.sparkSession)
+    return out.select(*keys, F.timestamp_micros("row").cast(moment).alias("ts"), "fold", "target", F.get("scores", F.lit(0)).alias("predicted"))
 
-def _assembled(features: DataFrame, names: list[str]) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
 
-    return VectorAssembler(inputCols=names, outputCol="features").transform(features)
+def boosted_sweep(
+    series: DataFrame, keys: list[str], horizons: tuple[int, ...] = HORIZONS, splits: int = 5, settings: boosting.Settings = boosting.Settings(), **features,
+) -> DataFrame:
+    """Mean fold scores of the boosted forecast per horizon, in the shape of :func:`horizon_sweep`: horizons, folds and series are
+    keys of one fit. Horizons that leave fewer than two rows per split are skipped."""
+    group = [*keys, "horizon"]
+    rows, names = _all_horizons(series, keys, horizons, splits, **features)
+    folds = score_predictions(boosted_predictions(rows, group, names, splits, settings), group, "boosted")
+    return folds.groupBy(*group, "method").agg(F.avg("r2").alias("r2"), F.avg("rmse").alias("rmse"), F.avg("mae").alias("mae"))
 
 
-def boosted_predictions(
-    features: DataFrame, keys: list[str], names: list[str], splits: int = 5,
-    trees: int = 300, rate: float = 0.05, depth: int = 5, seed: int = 0,
-) -> DataFrame:
-    """Out-of-fold boosted-tree forecasts; each fold fits one MLlib model over all given series."""
-    rows = _assembled(with_test_fold(features, keys, splits), names).select(*keys, "ts", "fold", "target", "features").persist()
-    parts = []
-    for i in range(1, splits + 1):
-        model = _boosted(trees, rate, depth, seed).fit(rows.where(F.col("fold") < i))
-        parts.append(model.transform(rows.where(F.col("fold") == i)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.select(*keys, "ts", "fold", "target", F.col("prediction").alias("predicted"))
-
-
-def boosted_importance(
-    features: DataFrame, names: list[str], trees: int = 300, rate: float = 0.05, depth: int = 5, seed: int = 0
-) -> DataFrame:
-    """Split importances of a boosted-tree fit on all rows."""
-    model = _boosted(trees, rate, depth, seed).fit(_assembled(features, names))
-    pairs = list(zip(names, [float(v) for v in model.featureImportances.toArray()]))
-    return features.sparkSession.createDataFrame(pairs, "feature string, importance double").orderBy(F.desc("importance"))
+def boosted_importance(features: DataFrame, keys: list[str], names: list[str], settings: boosting.Settings = boosting.Settings()) -> DataFrame:
+    """Number of splits on each feature in a boosted fit on all rows, per series."""
+    fitted = boosting.fit(features, keys, names, "target", settings=settings)
+    rows = [(*key, name, value) for i, key in enumerate(fitted.keys) for name, value in fitted.importance(i).items()]
+    schema = T.StructType([*fitted.kinds, T.StructField("feature", T.StringType()), T.StructField("importance", T.DoubleType())])
+    return features.sparkSession.createDataFrame(rows, schema)
 
 
 def score_predictions(predictions: DataFrame, keys: list[str], method: str) -> DataFrame:

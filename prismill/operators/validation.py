@@ -9,12 +9,14 @@ from typing import Any
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
 from pyspark.ml.feature import StandardScaler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismill.operators import metrics, models, pixels
+from prismill.operators import boosting, metrics, models, pixels
 from prismill.operators.clustering import vectors
-from prismill.operators.preprocess import PreprocessConfig
+from prismill.operators.forecasting import regression_scores
+from prismill.operators.preprocess import PreprocessConfig, Preprocessor
 from prismill.operators.splits import shuffled_folds
 
 # Tree counts the growth curve tries, the gap that counts as level with the best.
@@ -65,11 +67,56 @@ def cross_validate_models(
     """Fold scores of several models: (model, fold, score)."""
     rows = []
     for key in keys:
+        if key == "boosted":
+            folds = boosted_folds(df, row_id, task, target, numeric, categorical, config, splits, seed, (options or {}).get(key))
+            rows += [(key, i, s) for i, s in enumerate(folds)]
+            continue
         pipeline = models.TabularPipeline(key, task, target, numeric, categorical, config, seed, (options or {}).get(key))
         rows += [(key, i, s) for i, s in enumerate(cross_validate(pipeline, df, row_id, task, target, splits, seed))]
     return df.sparkSession.createDataFrame(rows, "model string, fold int, score double")
 
 
+def boosted_folds(
+    df: DataFrame, row_id: str, task: str, target: str, numeric: list[str], categorical: list[str],
+    config: PreprocessConfig = PreprocessConfig(), splits: int = 5, seed: int = 0, options: dict[str, Any] | None = None,
+) -> list[float]:
+    """Fold scores of boosted trees as :func:`cross_validate` has them, with all folds in the same jobs.
+
+    Every fold's model sees features prepared by what its own training rows say.
+    """
+    kind = models.CLASSIFICATION if task == models.CLASSIFICATION else None
+    folded = shuffled_folds(df, row_id, splits, target if kind else None, seed).where(F.col(target).isNotNull())
+    labels = [r[0] for r in folded.select(F.col(target).cast("string")).distinct().orderBy(target).collect()] if kind else []  # a string per class
+    used = [*numeric, *categorical]
+    rows = models.with_label(folded, target, labels).select(row_id, "fold", "label", *used).persist()
+    try:
+        plain = PreprocessConfig(config.numeric_impute, config.categorical_impute, False, config.encode)
+        ready, widths = rows.withColumn("_raw", F.struct(*used)), []
+        for i in range(splits):
+            prep = Preprocessor(numeric, categorical, plain, f"_view{i}").fit(rows.where(F.col("fold") != i))
+            widths.append(len(prep.columns()))
+            kept = [c for c in ready.columns if c not in used]
+            ready = prep.transform(ready.select(*kept, "_raw.*")).withColumn(f"_view{i}", vector_to_array(f"_view{i}"))
+        width = max(widths)
+        views = {f"_view{i}": F.concat(f"_view{i}", F.array_repeat(F.lit(float("nan")), width - w)) for i, w in enumerate(widths)}
+        settings = models._boost_settings(None, task, len(labels), options or {})
+        names = [f"x{i}" for i in range(width)]
+        fitted = boosting.fit(ready.withColumns(views), [], names, "label", "fold", splits, False, row_id, settings, list(views))
+        out = boosting.out_of_fold(fitted, df.sparkSession)
+        best = F.array_position("scores", F.array_max("scores")) - 1 if settings.classes > 1 else (F.get("scores", F.lit(0)) > 0).cast("int")
+        guess = best.cast("double") if kind else F.get("scores", F.lit(0))
+        scored = out.select("fold", F.col("target").alias("label"), guess.alias("prediction"))
+        if kind:
+            value = F.avg((F.col("prediction") == F.col("label")).cast("double"))
+        else:
+            value = regression_scores(F.col("label"), F.col("prediction"))[0]
+        found = {r["fold"]: r["s"] for r in scored.groupBy("fold").agg(value.alias("s")).collect()}
+        fitted.blocks.unpersist()
+        return [found.get(i) for i in range(splits)]
+    finally:
+        rows.unpersist()
+
+
 def compare_scores(scores: DataFrame, baseline: str = "baseline") -> DataFrame:
     """Per model: mean, population spread, range, gain over the baseline and whether the spread exceeds the gain."""
     rows = scores.groupBy("model").agg(
@@ -87,8 +134,6 @@ def hold_out_scores(predictions: DataFrame, task: str) -> DataFrame:
     out = metrics.classification_scores(predictions, "label", "prediction")
     if "probability" not in predictions.columns:
         return out.withColumn("auc", F.lit(None).cast("double"))
-    from pyspark.ml.functions import vector_to_array
-
     shares = predictions.select("label", F.posexplode(vector_to_array("probability")).alias("class", "share"))
     ones = shares.withColumn("y", (F.col("label") == F.col("class")).cast("int"))
     per_class = metrics.roc_auc(metrics.score_steps(ones, "y", "share", ["class"]), ["class"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from prismill.functions.rounding import settled_sql
+from prismill.functions.rounding import settled, settled_sql
 from prismill.operators import pixels as P
 from prismill.operators import signals as S
 from prismill.plans.registry import query, table
@@ -183,8 +183,6 @@ SPECTRUM = f"""{HOURLY}, ln_ AS (SELECT series, count(*) AS len FROM sg GROUP BY
 
 @query("amplitude_spectrum", "G01", f"WITH {SPECTRUM} SELECT series, bin, round(frequency, 6) AS frequency, {settled_sql('amplitude', 6)} AS amplitude FROM sx")
 def amplitude_spectrum(spark, folder):
-    from prismill.functions.rounding import settled
-
     out = S.spectrum(hourly(spark, folder), ["series"], 24.0)
     return out.select("series", "bin", F.round("frequency", 6).alias("frequency"), settled("amplitude", 6))
 
@@ -238,11 +236,11 @@ _EDGE = 240  # hours after which nothing is left of the ends
     fo AS (SELECT series, n + m AS n, sum(y * value) AS value FROM sg, im GROUP BY 1, 2),
     ba AS (SELECT series, n - m AS n, sum(y * value) AS value FROM fo, im GROUP BY 1, 2),
     sz AS (SELECT series, count(*) AS len FROM sg GROUP BY 1)
-    SELECT series, CAST(n AS INT) AS n, round(value, 5) AS value FROM ba JOIN sz USING (series) WHERE n >= {_EDGE} AND n < len - {_EDGE}""",
+    SELECT series, CAST(n AS INT) AS n, {settled_sql('value', 4)} AS value FROM ba JOIN sz USING (series) WHERE n >= {_EDGE} AND n < len - {_EDGE}""",
 )
 def band_filter_inside(spark, folder):
     """The low pass where the ends are not felt: there it is the response to each sample, forward and backward."""
     rows = hourly(spark, folder)
     sizes = rows.groupBy("series").agg(F.count("*").alias("len"))
     out = S.band_filter(rows, ["series"], 24.0, "lowpass", low_hz=2.0).join(sizes, "series")
-    return out.where((F.col("n") >= _EDGE) & (F.col("n") < F.col("len") - _EDGE)).select("series", "n", F.round("value", 5).alias("value"))
+    return out.where((F.col("n") >= _EDGE) & (F.col("n") < F.col("len") - _EDGE)).select("series", "n", settled("value", 4))

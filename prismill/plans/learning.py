@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from prismill.functions.keys import scatter_sql
+from prismill.operators import boosting
 from prismill.operators import explain as X
 from prismill.operators import models as M
 from prismill.operators import splits
@@ -95,22 +97,88 @@ def unused_features(spark, folder):
     return lost.join(unused, "feature", "left").select("feature", F.coalesce("unused", F.lit(False)).alias("unused"))
 
 
+_RULE = "1500 * l_quantity - 20000 * l_discount"
+_DONORS = f"""
+    WITH b AS (SELECT (l_orderkey * 7 + l_linenumber) * 1009 + l_partkey % 1009 AS row_id, l_quantity, l_discount, l_extendedprice AS y FROM lineitem),
+    o AS (SELECT *, row_number() OVER (ORDER BY {scatter_sql('row_id')}, row_id, l_quantity, l_discount, y) - 1 AS p, count(*) OVER () AS n FROM b),
+    v AS (SELECT 'none' AS feature, 0 AS r, y, {_RULE} AS f FROM o
+      UNION ALL SELECT 'l_quantity', r, o.y, 1500 * d.l_quantity - 20000 * o.l_discount FROM o, generate_series(1, 3) AS g(r), o AS d WHERE d.p = (o.p + r) % o.n
+      UNION ALL SELECT 'l_discount', r, o.y, 1500 * o.l_quantity - 20000 * d.l_discount FROM o, generate_series(1, 3) AS g(r), o AS d WHERE d.p = (o.p + r) % o.n),
+    s AS (SELECT feature, r, 1 - avg((y - f) ** 2) / var_pop(y) AS r2 FROM v GROUP BY 1, 2),
+    l AS (SELECT feature, (SELECT r2 FROM s WHERE feature = 'none') - r2 AS lost FROM s WHERE feature <> 'none')
+"""
+
+
+def _rule_importance(spark, folder):
+    """A formula instead of a fit, so that SQL can follow."""
+    rule = M.Formula(F.expr(_RULE), "l_extendedprice")
+    return X.permutation_importance(rule, lines(spark, folder), ["l_quantity", "l_discount"], "row_id", 3)
+
+
+@query(
+    "permutation_importance_rule", "B18",
+    f"{_DONORS} SELECT feature, round(avg(lost), 7) AS drop_, round(stddev_pop(lost), 7) AS spread FROM l GROUP BY 1",
+)
+def permutation_importance_rule(spark, folder):
+    return _rule_importance(spark, folder).select("feature", F.round("drop", 7).alias("drop_"), F.round("spread", 7).alias("spread"))
+
+
+@query("unused_features_rule", "B19", f"{_DONORS} SELECT feature, avg(lost) <= 0 AS unused FROM l GROUP BY 1")
+def unused_features_rule(spark, folder):
+    lost = _rule_importance(spark, folder)
+    unused = X.unused_features(lost).select("feature", F.lit(True).alias("unused"))
+    return lost.join(unused, "feature", "left").select("feature", F.coalesce("unused", F.lit(False)).alias("unused"))
+
+
 @query("model_importance", "B20")
 def model_importance(spark, folder):
     _, model = _forest_model(spark, folder)
     return X.model_importance(model, spark)
 
 
+def _boosted_model(spark, folder):
+    rows = lines(spark, folder)
+    pipeline = M.TabularPipeline("boosted", M.CLASSIFICATION, "large", NUMERIC, CATEGORICAL, MEAN)
+    return rows, pipeline.fit(rows)
+
+
 @query("row_contributions", "B21")
 def row_contributions(spark, folder):
-    rows, model = _forest_model(spark, folder)
-    return X.mean_contributions(X.contributions(model, rows, "row_id"))
+    rows, model = _boosted_model(spark, folder)
+    return X.mean_contributions(X.tree_contributions(model, rows, "row_id"))
 
 
 @query("top_contributions", "B22")
 def top_contributions(spark, folder):
-    rows, model = _forest_model(spark, folder)
-    return X.top_contributions(X.contributions(model, rows, "row_id"), "row_id", 3)
+    rows, model = _boosted_model(spark, folder)
+    return X.top_contributions(X.tree_contributions(model, rows, "row_id"), "row_id", 3)
+
+
+_FIRST = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+
+
+@query(
+    "boosted_first_split",
+    "B16 T15",
+    f"""
+    WITH v AS (SELECT l_extendedprice::DOUBLE AS y, unnest([{", ".join(f"'{c}'" for c in _FIRST)}]) AS feature, unnest([{", ".join(f"{c}::DOUBLE" for c in _FIRST)}]) AS x FROM lineitem),
+    t AS (SELECT sum(l_extendedprice) / count(*) AS m FROM lineitem),
+    b AS (SELECT feature, x, sum(m - y) AS g, count(*) AS n FROM v, t GROUP BY 1, 2),
+    r AS (SELECT feature, x, sum(g) OVER w AS g, sum(n) OVER w AS n, sum(g) OVER (PARTITION BY feature) AS all_g, sum(n) OVER (PARTITION BY feature) AS all_n
+      FROM b WINDOW w AS (PARTITION BY feature ORDER BY x)),
+    c AS (SELECT feature, x, n, g * g / n + (all_g - g) ** 2 / (all_n - n) - all_g ** 2 / all_n AS gain FROM r WHERE n >= 20 AND all_n - n >= 20)
+    SELECT feature, x AS at_most, CAST(n AS BIGINT) AS rows_left, round(gain / 1e6, 2) AS gain FROM c ORDER BY c.gain DESC LIMIT 1
+    """,
+)
+def boosted_first_split(spark, folder):
+    """Where the first tree cuts first, against all cuts there are."""
+    rows = table(spark, folder, "lineitem").select(*_FIRST, F.col("l_extendedprice").alias("y"))
+    fitted = boosting.fit(rows, [], _FIRST, "y", settings=boosting.Settings(rounds=1, leaves=2))
+    tree = fitted.trees[0][0, 0, 0]
+    feature = tree.feature[0]
+    cut = float(fitted.cuts[0, 0][feature][tree.bin[0] - 1])
+    out = [(_FIRST[feature], cut, tree.rows[tree.left[0]], round(tree.gain[0] / 1e6, 2))]
+    return spark.createDataFrame(out, "feature string, at_most double, rows_left long, gain double")
 
 
 _SETTINGS = {

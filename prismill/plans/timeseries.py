@@ -375,10 +375,18 @@ def horizon_sweep_learned(spark, folder):
     return both.select("series", "horizon", "method", F.round("r2", 5).alias("r2"), F.round("rmse", 3).alias("rmse"), F.round("mae", 3).alias("mae"))
 
 
+@query("horizon_sweep_boosted", "T15 T18 T19")
+def horizon_sweep_boosted(spark, folder):
+    """The boosted forecast beside the others, per horizon."""
+    series = daily(spark, folder)
+    every = forecasting.horizon_sweep(series, KEY, period=365).unionByName(forecasting.ridge_sweep(series, KEY)).unionByName(forecasting.boosted_sweep(series, KEY))
+    return every.select("series", "horizon", "method", F.round("r2", 5).alias("r2"), F.round("rmse", 3).alias("rmse"), F.round("mae", 3).alias("mae"))
+
+
 @query("boosted_forecaster_importance", "T15 T20")
 def boosted_forecaster_importance(spark, folder):
-    features = forecasting.make_features(monthly(spark, folder), KEY, n_lags=7, windows=(7,), horizon=1)
-    return forecasting.boosted_importance(features, forecasting.feature_names(7, (7,)), trees=30)
+    features = forecasting.make_features(daily(spark, folder), KEY, horizon=7)
+    return forecasting.boosted_importance(features, KEY, _NAMES)
 
 
 @query("backtest_ridge", "T14 T17")

@@ -121,3 +121,54 @@ def test_three_classes(spark):
     fitted = boosting.fit(spark.createDataFrame(rows, SCHEMA), [], ["a", "b", "c"], "y", row_id="id", settings=settings)
     right = [int(np.argmax(r["scores"])) == r["target"] for r in boosting.out_of_fold(fitted, spark).collect()]
     assert np.mean(right) > 0.75
+
+
+def test_contributions_equal_enumeration(spark):
+    """Three features, all subsets, all background rows."""
+    from itertools import combinations
+    from math import factorial
+
+    from prismill.operators import explain, models
+
+    rows = spark.createDataFrame([(*r[:4], r[4] or 0.0, r[5]) for r in some(300)], SCHEMA)
+    pipeline = models.TabularPipeline("boosted", models.REGRESSION, "y", ["a", "b", "c"], [], models.PreprocessConfig("mean"), 0, {"n_estimators": 6, "num_leaves": 9})
+    model = pipeline.fit(rows)
+    out = explain.tree_contributions(model, rows, "id", background=20).toPandas()
+    assert len(out) == 900
+    score = lambda x: model.model.fitted.scorer()(0, np.asarray(x, float))[:, 0]
+    x = np.array([[r["a"], r["b"], r["c"]] for r in rows.orderBy("id").collect()])
+    from prismill.operators.profile import sample_rows
+
+    numbered = rows.select(rows["id"].alias("row"), "a", "b", "c")
+    pool = np.array([[r["a"], r["b"], r["c"]] for r in sample_rows(numbered, 20, "row", 1).collect()])
+    for i in (0, 7, 123):
+        value = {}
+        for size in range(4):
+            for kept in combinations(range(3), size):
+                mixed = pool.copy()
+                mixed[:, list(kept)] = x[i, list(kept)]
+                value[kept] = score(mixed).mean()
+        own = out[out["id"] == i].set_index("feature")
+        assert own["base"].iloc[0] == pytest.approx(value[()]) and own["prediction"].iloc[0] == pytest.approx(value[(0, 1, 2)])
+        for j, name in enumerate("abc"):
+            want = 0.0
+            for size in range(3):
+                for kept in combinations([k for k in range(3) if k != j], size):
+                    want += factorial(size) * factorial(2 - size) / 6 * (value[tuple(sorted((*kept, j)))] - value[kept])
+            assert own.loc[name, "contribution"] == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize("rows", [1, 3, 40])
+def test_donors_go_round(spark, rows):
+    from prismill.operators import explain
+
+    df = spark.createDataFrame([(i, f"v{i}") for i in range(rows)], "id long, v string")
+    out = {r["v"]: [d["v"] for d in r["donors"]] for r in explain.shifted_donors(df, "id", ["v"], 3).collect()}
+    assert len(out) == rows
+    for v, donors in out.items():
+        assert len(donors) == 3 and donors[1] == out[donors[0]][0] and donors[2] == out[donors[1]][0]
+    step, seen = "v0", []
+    for _ in range(rows):
+        seen.append(step)
+        step = out[step][0]
+    assert sorted(seen) == sorted(out) and step == "v0"
