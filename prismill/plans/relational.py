@@ -5,6 +5,8 @@ SQL texts go through the guarded read-only path; the rest uses the DataFrame API
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -109,9 +111,30 @@ def from_first(spark, folder):
     )
 
 
-@query("describe_table", "P07")
+@query("table_statement", "P07 P01", "SELECT * FROM nation")
+def table_statement(spark, folder):
+    return sql(spark, folder, ["nation"], "TABLE nation")
+
+
+@query(
+    "describe_table", "P07",
+    "SELECT unnest(['event_id', 'ts', 'user_id', 'event_type', 'value', 'props']) AS col_name, unnest([count(event_id), count(ts), count(user_id), count(event_type), count(value), count(props)]) AS filled FROM events",
+)
 def describe_table(spark, folder):
-    return sql(spark, folder, ["events"], "DESCRIBE events")
+    """The columns a table says it has, and how many rows fill each."""
+    told = sql(spark, folder, ["events"], "DESCRIBE events").select("col_name")
+    names = [r["col_name"] for r in told.collect()]  # a row per column
+    counts = table(spark, folder, "events").agg(*[F.count(F.col(f"`{n}`")).alias(n) for n in names])
+    return told.join(counts.unpivot([], names, "name", "filled"), F.col("col_name") == F.col("name")).select("col_name", "filled")
+
+
+@query("shown_tables", "P07 P02", "SELECT 'part' AS name, count(*) AS n FROM part UNION ALL SELECT 'supplier', count(*) FROM supplier")
+def shown_tables(spark, folder):
+    """The tables that SHOW lists, and how many rows each has."""
+    listed = sql(spark, folder, ["part", "supplier"], "SHOW TABLES").where("tableName IN ('part', 'supplier')")
+    names = sorted(r["tableName"] for r in listed.collect())
+    parts = [sql(spark, folder, [n], f"SELECT '{n}' AS name, count(*) AS n FROM {n}") for n in names]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 _MEASURES = """
