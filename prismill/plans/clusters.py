@@ -50,6 +50,16 @@ def kmeans_plus_plus(spark, folder):
     return K.kmeans_rounds(points, ["x", "y"], 4, "p_partkey", seed=1)
 
 
+@query(
+    "elbow_of_one_cluster",
+    "K02",
+    f"WITH {PLANE} SELECT 1 AS k, round((var_pop(x) + var_pop(y)) * count(*), 3) AS inertia FROM pl",
+)
+def elbow_of_one_cluster(spark, folder):
+    """Where the curve starts: all points around their mean."""
+    return K.elbow_curve(plane(spark, folder), ["x", "y"], 1).select("k", F.round("inertia", 3).alias("inertia"))
+
+
 @query("elbow_curve", "K02")
 def elbow_curve(spark, folder):
     return K.elbow_curve(plane(spark, folder), ["x", "y"])
@@ -161,6 +171,17 @@ def principal_components(spark, folder):
     return K.principal_components(vectors(spark, folder), ["v"], 20)[1]
 
 
+@query(
+    "two_principal_components",
+    "K10",
+    f"WITH {PLANE}, r AS (SELECT abs(corr(x, y)) AS r FROM pl) SELECT unnest([1, 2]) AS component, unnest([round((1 + r) / 2, 8), round((1 - r) / 2, 8)]) AS share FROM r",
+)
+def two_principal_components(spark, folder):
+    """Of two standardised columns the components follow from their correlation."""
+    shares = K.principal_components(plane(spark, folder), ["x", "y"], 2)[1]
+    return shares.select("component", F.round("share", 8).alias("share"))
+
+
 @query("dimensions_needed", "K11")
 def dimensions_needed(spark, folder):
     return K.dimensions_for(K.principal_components(vectors(spark, folder), ["v"], 64)[1], 0.95)

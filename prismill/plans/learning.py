@@ -67,6 +67,42 @@ def hold_out_ridge(spark, folder):
     return V.hold_out_scores(pipeline.fit(placed.where("part = 'train'")).transform(placed.where("part = 'test'")), M.REGRESSION)
 
 
+@query(
+    "ridge_of_one_column",
+    "B14 M14",
+    """SELECT round(count(*) * covar_pop(l_extendedprice, l_quantity) / stddev_pop(l_quantity) / (count(*) + 50000.0), 4) AS weight,
+       round(avg(l_extendedprice), 4) AS start FROM lineitem""",
+)
+def ridge_of_one_column(spark, folder):
+    """One standardised column and a penalty that shows: the weight has a closed form."""
+    pipeline = M.TabularPipeline("linear", M.REGRESSION, "l_extendedprice", ["l_quantity"], [], MEAN, options={"alpha": 50000.0})
+    model = pipeline.fit(lines(spark, folder)).model
+    return spark.createDataFrame([(round(float(model.coefficients[0]), 4), round(float(model.intercept), 4))], "weight double, start double")
+
+
+_LEVELS = ["l_discount", "l_tax", "l_linenumber"]
+
+
+@query(
+    "tree_of_one_cut",
+    "M05",
+    f"""
+    WITH v AS (SELECT (l_linenumber + 100 * l_discount > 8.5)::INT AS y, unnest([{", ".join(f"'{c}'" for c in _LEVELS)}]) AS feature, unnest([{", ".join(f"{c}::DOUBLE" for c in _LEVELS)}]) AS x FROM lineitem),
+    b AS (SELECT feature, x, sum(y) AS y, count(*) AS n FROM v GROUP BY 1, 2),
+    r AS (SELECT feature, x, sum(n) OVER w AS n, sum(y) OVER w AS y, sum(n) OVER (PARTITION BY feature) AS tn, sum(y) OVER (PARTITION BY feature) AS ty
+      FROM b WINDOW w AS (PARTITION BY feature ORDER BY x)),
+    c AS (SELECT *, 2 * (ty / tn) * (1 - ty / tn) - n / tn * 2 * (y / n) * (1 - y / n) - (tn - n) / tn * 2 * ((ty - y) / (tn - n)) * (1 - (ty - y) / (tn - n)) AS gain FROM r WHERE n < tn)
+    SELECT feature, CAST(n AS BIGINT) AS rows_left, round(gain, 10) AS gain FROM c ORDER BY c.gain DESC LIMIT 1
+    """,
+)
+def tree_of_one_cut(spark, folder):
+    """A tree of depth one against all cuts of columns with few levels."""
+    rows = lines(spark, folder).withColumn("label", (F.col("l_linenumber") + 100 * F.col("l_discount") > 8.5).cast("double"))
+    root = M.fit_classifier("tree", rows, _LEVELS, {"max_depth": 1}).model._call_java("rootNode")
+    feature, cut = _LEVELS[root.split().featureIndex()], root.split().threshold()
+    return rows.agg(F.count_if(F.col(feature) <= cut).alias("rows_left")).select(F.lit(feature).alias("feature"), "rows_left", F.round(F.lit(float(root.gain())), 10).alias("gain"))
+
+
 @query("cross_validated_models", "B08 B11 B13 B14 B15 B16 B17")
 def cross_validated_models(spark, folder):
     rows = lines(spark, folder)

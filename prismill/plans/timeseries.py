@@ -205,6 +205,21 @@ def partial_autocorrelation(spark, folder):
     return series.partial_autocorrelation(daily(spark, folder), KEY, 60)
 
 
+@query(
+    "partial_autocorrelation_first",
+    "T08",
+    f"""{_ACF}, u AS (SELECT series, max(n) AS n, max(acf * n / (n - lag)) FILTER (WHERE lag = 1) AS a, max(acf * n / (n - lag)) FILTER (WHERE lag = 2) AS b,
+      max(acf * n / (n - lag)) FILTER (WHERE lag = 3) AS c FROM r GROUP BY series),
+    p AS (SELECT series, n, unnest([1, 2, 3]) AS lag, unnest([a, (b - a * a) / (1 - a * a),
+      (a ** 3 - a * b * (2 - b) + c * (1 - a * a)) / (1 - b * b - 2 * a * a * (1 - b))]) AS pacf FROM u)
+    SELECT series, CAST(lag AS INT) AS lag, round(pacf, 8) AS pacf, round(1.959963984540054 / sqrt(n), 8) AS high FROM p""",
+)
+def partial_autocorrelation_first(spark, folder):
+    """The lags that have a closed form."""
+    out = series.partial_autocorrelation(daily(spark, folder), KEY, 60).where("lag BETWEEN 1 AND 3")
+    return out.select("series", "lag", F.round("pacf", 8).alias("pacf"), F.round("high", 8).alias("high"))
+
+
 @query(
     "significant_lags",
     "T09",
@@ -389,6 +404,19 @@ def boosted_forecaster_importance(spark, folder):
     return forecasting.boosted_importance(features, KEY, _NAMES)
 
 
+@query(
+    "ridge_of_one_feature",
+    "T14 T20",
+    f"""WITH {DAILY}, {_features_sql(7)}
+    SELECT series, 'lag_1' AS feature, round(abs(regr_sxy(target, lag_1) / (regr_sxx(target, lag_1) + 1000000)), 8) AS importance FROM ready GROUP BY series""",
+)
+def ridge_of_one_feature(spark, folder):
+    """One feature and a penalty that shows: the slope has a closed form."""
+    features = forecasting.make_features(daily(spark, folder), KEY, horizon=7)
+    out = forecasting.ridge_importance(features, KEY, ["lag_1"], alpha=1e6)
+    return out.select("series", "feature", F.round("importance", 8).alias("importance"))
+
+
 @query("backtest_ridge", "T14 T17")
 def backtest_ridge(spark, folder):
     features = forecasting.make_features(daily(spark, folder), KEY, horizon=7)
