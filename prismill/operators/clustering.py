@@ -32,22 +32,38 @@ def assign(df: DataFrame, columns: list[str], centers: list[list[float]]) -> Dat
     ).drop("_near")
 
 
-def start_centers(df: DataFrame, columns: list[str], k: int, how: str, row_id: str, seed: int = 0) -> list[list[float]]:
-    """Start rows: a random sample, or spread out in proportion to squared distance, one pass per center."""
+def start_centers(df: DataFrame, columns: list[str], k: int, how: str, row_id: str, seed: int = 0, rounds: int = 5) -> list[list[float]]:
+    """Start rows: a random sample, or spread out in proportion to squared distance.
+
+    Spread-out starts take ``rounds`` passes whatever k is (Bahmani et al. 2012): each draws 2 k rows in proportion to their squared distance
+    to all rows drawn before. The candidates, about ten for each start, are weighted by the rows nearest to them, and
+    k of them are drawn one by one.
+    """
     if how == "random":
         rows = df.orderBy(scatter(row_id, seed), row_id).limit(k).select(*columns).collect()
         return [[float(v) for v in r] for r in rows]
     if how != "k-means++":
         raise ValueError(f"unknown start {how}")
-    centers: list[list[float]] = []
-    for i in range(k):
+    drawn: list[list[float]] = []
+    for i in range(rounds + 1):
         luck = (scatter(row_id, seed * 31 + i) + F.lit(1)) / F.lit(float(MODULUS) + 1)
-        weight = F.lit(1.0) if not centers else F.array_min(F.array(*[_distance2(columns, c) for c in centers]))
-        # the largest log(u) / w falls on a row with probability in proportion to w
-        key = F.when(weight > 0, F.log(luck) / weight).otherwise(F.lit(-math.inf))
-        best = df.agg(F.max_by(F.struct(*columns), F.struct(key, -F.col(row_id))).alias("b")).first()["b"]
-        centers.append([float(v) for v in best])
-    return centers
+        weight = F.array_min(F.array(*[_distance2(columns, c) for c in drawn])) if drawn else F.lit(1.0)
+        # the largest values of log(u) / w fall on rows with probability in proportion to w
+        spread = df.select(*columns, row_id, weight.alias("_w"), luck.alias("_u")).where("_w > 0")
+        rows = spread.orderBy((F.log("_u") / F.col("_w")).desc(), row_id).limit(2 * k if drawn else 1).collect()
+        drawn += [[float(r[c]) for c in columns] for r in rows]
+    near = {r["cluster"]: r["n"] for r in assign(df, columns, drawn).groupBy("cluster").agg(F.count("*").alias("n")).collect()}
+    points, mass = np.array(drawn), np.array([near.get(i, 0) for i in range(len(drawn))], float)
+    chance, chosen = np.random.default_rng(seed), []
+    away = np.ones(len(points))
+    for _ in range(k):
+        share = mass * away
+        if share.sum() <= 0:  # fewer different rows than starts
+            chosen.append(chosen[0])
+            continue
+        chosen.append(int(chance.choice(len(points), p=share / share.sum())))
+        away = ((points[:, None] - points[None, chosen]) ** 2).sum(axis=2).min(axis=1)
+    return points[chosen].tolist()
 
 
 def kmeans_rounds(
