@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from prismill.session import checkpoint_folder
 
 SQUARED, LOGISTIC = "squared", "logistic"
-BLOCK_ROWS = 1 << 14
+BLOCK_ROWS = 1 << 16
 _CHECKPOINT_EVERY = 25  # trees
 
 
@@ -82,24 +82,28 @@ def leaf_of(arrays: tuple[np.ndarray, ...], codes: np.ndarray) -> np.ndarray:
 def best_splits(sums: np.ndarray, settings: Settings) -> list[tuple[tuple, tuple | None]]:
     """Per leaf its (gradient, hessian, rows) and its best split, if any: (gain, feature, last bin of the left side).
 
-    ``sums`` has gradients, hessians and rows by leaf, feature and bin: 3 x leaves x features x bins. Equal gains go to the
+    ``sums`` has gradients, rows and, unless each row's hessian is 1, hessians by leaf, feature and bin. Equal gains go to the
     first feature, then the lowest bin.
     """
-    running = sums.cumsum(axis=3)
-    totals = running[:, :, 0, -1]
-    left = running[:, :, :, :-1]
-    right = totals[:, :, None, None] - left
-    fits = (left[2] >= settings.min_rows) & (right[2] >= settings.min_rows) & (left[1] >= settings.min_hessian) & (right[1] >= settings.min_hessian)
+    left = sums.cumsum(axis=3)
+    totals = left[:, :, 0, -1]
+    g, n, h = left[0, :, :, :-1], left[1, :, :, :-1], left[-1, :, :, :-1]
+    all_g, all_n, all_h = totals[0][:, None, None], totals[1][:, None, None], totals[-1][:, None, None]
+    fits = (n >= settings.min_rows) & (n <= all_n - settings.min_rows)
+    if len(sums) > 2:
+        fits &= (h >= settings.min_hessian) & (all_h - h >= settings.min_hessian)
     with np.errstate(divide="ignore", invalid="ignore"):
-        gain = np.where(fits, left[0] ** 2 / left[1] + right[0] ** 2 / right[1], -np.inf).reshape(sums.shape[1], -1)
-        alone = totals[0] ** 2 / totals[1]
-    at = gain.argmax(axis=1)
+        gain = g * g / h
+        gain += (all_g - g) ** 2 / (all_h - h)
+        alone = totals[0] ** 2 / totals[-1]
+    gain[~fits] = -np.inf
+    gain = gain.reshape(len(gain), -1)
     out = []
-    for i, place in enumerate(at):
+    for i, place in enumerate(gain.argmax(axis=1)):
         better = float(gain[i, place] - alone[i])
-        feature, cut = divmod(int(place), left.shape[3])
+        feature, cut = divmod(int(place), g.shape[2])
         good = np.isfinite(better) and better > 1e-12 * max(1.0, float(alone[i]))
-        out.append(((float(totals[0, i]), float(totals[1, i]), int(totals[2, i])), (better, feature, cut) if good else None))
+        out.append(((float(totals[0, i]), float(totals[-1, i]), int(totals[1, i])), (better, feature, cut) if good else None))
     return out
 
 
@@ -208,7 +212,7 @@ class Plan:
 
 
 def _histograms(block: Block, asked: dict, trees: dict, plan: Plan, settings: Settings) -> Iterator[tuple[tuple, list[int], np.ndarray]]:
-    """Per model its asked leaves and their sums by feature and bin: 3 x leaves x features x bins."""
+    """Per model its asked leaves and their sums by feature and bin, as :func:`best_splits` takes them."""
     features = block.codes.shape[2]
     bins = settings.bins + 1
     size = features * bins
@@ -230,10 +234,10 @@ def _histograms(block: Block, asked: dict, trees: dict, plan: Plan, settings: Se
                 use = np.flatnonzero(where >= 0)
                 g, h = _gradients(block, learning[use], model, part, settings)
                 flat = (where[use][:, None] * size + np.arange(features) * bins + codes[use]).ravel()
-                counts = np.bincount(flat, minlength=len(nodes) * size).astype(float)
-                wide = np.bincount(flat, np.repeat(g, features), len(nodes) * size)
-                high = counts if settings.loss == SQUARED else np.bincount(flat, np.repeat(h, features), len(nodes) * size)
-                yield name, nodes, np.stack([wide, high, counts]).reshape(3, len(nodes), features, bins)
+                wide = [np.bincount(flat, np.repeat(g, features), len(nodes) * size), np.bincount(flat, minlength=len(nodes) * size)]
+                if settings.loss != SQUARED:
+                    wide.append(np.bincount(flat, np.repeat(h, features), len(nodes) * size))
+                yield name, nodes, np.stack(wide).reshape(len(wide), len(nodes), features, bins)
 
 
 @dataclass
@@ -291,7 +295,7 @@ def _cut_points(rows: DataFrame, keys: list[str], features: Column, width: int,
 
     ``own``: the features of model 0, 1, ... follow each other.
     """
-    shares = F.lit([i / bins for i in range(1, bins)])
+    shares = [i / bins for i in range(1, bins)]
     columns = []
     for model in range(plan.folds):
         learns = F.lit(True) if plan.folds == 1 and not plan.rolling else F.col("fold") < model + 1 if plan.rolling else F.col("fold") != model
@@ -341,13 +345,14 @@ def fit(
                     start[i, m, part] = _start(r[f"m{m}"], settings)
         if settings.classes > 1:
             _class_starts(base, keys, places, plan, start, settings)
-        blocks = _blocks(base, keys, places, cuts, start, plan, settings, len(names), max(1, -(-sum(sizes.values()) // BLOCK_ROWS)))
+        blocks = _blocks(base, keys, places, cuts, start, plan, settings, len(names), max(1, -(-sum(sizes.values()) // BLOCK_ROWS), min(len(places), context.defaultParallelism)))
         blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
         split_keys = {int(k) for k, n in blocks.flatMap(lambda b: [(int(k), 1) for k in np.unique(b.key)]).countByKey().items() if n > 1}
     finally:
         base.unpersist()
 
     fitted = Boosted(settings, plan, names, places, cuts, start, [], [base.schema[k] for k in keys], blocks)
+    older: list[RDD] = []
     every = [(k, m, part) for k in range(len(places)) for m in range(folds) for part in range(settings.classes)]
     for round_ in range(settings.rounds):
         growing = {model: Growing(settings) for model in every}
@@ -367,9 +372,13 @@ def fit(
         moved = blocks.map(lambda b, sent=sent: _moved(b, sent, plan, settings)).persist(StorageLevel.MEMORY_AND_DISK)
         if round_ % _CHECKPOINT_EVERY == _CHECKPOINT_EVERY - 1:
             moved.checkpoint()
-        moved.foreachPartition(lambda _: None)
-        blocks.unpersist()
+        older.append(blocks)  # the next pass moves the scores; what it reads may go when the one after begins
+        if len(older) > 1:
+            older.pop(0).unpersist()
         blocks = fitted.blocks = moved
+    blocks.foreachPartition(lambda _: None)
+    for left in older:
+        left.unpersist()
     return fitted
 
 
