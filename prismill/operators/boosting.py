@@ -137,10 +137,10 @@ class Growing:
                     heapq.heappush(waiting, (-self.found[child][0], child))
         return taken, []
 
-    def ask(self) -> list[int]:
-        """Nodes that the next pass must count; empty when the tree is grown."""
+    def ask(self, ahead: int = 1 << 30) -> list[int]:
+        """Nodes that the next pass must count; empty when the tree is grown. At most ``ahead`` leaves are split in one pass."""
         taken, waiting = self.chosen()
-        room = self.settings.leaves - 1 - len(taken)
+        room = min(ahead, self.settings.leaves - 1 - len(taken))
         self.asked = []
         for _, node in heapq.nsmallest(room, waiting):
             if self.tree.feature[node] < 0:
@@ -316,8 +316,8 @@ def fit(
     from all others. ``views`` names an array column per fold model, if each sees features of its own. Cut points are quantiles of the rows that a model learns from. Targets of a classification are class numbers.
     ``blocks`` of the result keeps every row's score by the models, under its ``row_id``.
 
-    A pass sends the trees to the blocks of rows, which count their leaves; leaves of keys that lie in one block are decided there, others
-    merge their counts by key first. Scores move on once a tree is grown, and are written to the checkpoint folder
+    Keys that lie in one block grow a tree in one pass over it. For others a pass sends the trees to the blocks of rows, which count
+    their waiting leaves; the counts merge by model and leaf, and the best cuts come back. Scores move on once a tree is grown, and are written to the checkpoint folder
     every so often; a lost executor costs the trees since then. Both children are counted rather than one subtracted from a
     stored parent, so a pass depends on nothing but the blocks.
     """
@@ -355,11 +355,11 @@ def fit(
     older: list[RDD] = []
     every = [(k, m, part) for k in range(len(places)) for m in range(folds) for part in range(settings.classes)]
     for round_ in range(settings.rounds):
-        growing = {model: Growing(settings) for model in every}
-        asked = {model: [0] for model in every}
+        growing = {model: Growing(settings) for model in every if model[0] in split_keys}
+        asked = {model: [0] for model in growing}
         while asked:
             trees = {model: growing[model].tree.arrays() for model in asked}
-            for (name, node), (total, split) in _pass(context, blocks, asked, trees, plan, settings, split_keys):
+            for (name, node), (total, split) in _pass(context, blocks, asked, trees, plan, settings):
                 growing[name].told(node, total, split)
             for model in asked:
                 for node in asked[model]:  # no row of any block
@@ -367,6 +367,8 @@ def fit(
                         growing[model].told(node, (0.0, 0.0, 0), None)
             asked = {model: nodes for model, g in growing.items() if model in asked and (nodes := g.ask())}
         grown = {model: g.grown() for model, g in growing.items()}
+        if len(growing) < len(every):
+            grown |= dict(_grown_whole(blocks, plan, settings, split_keys))
         fitted.trees.append(grown)
         sent = {model: t.arrays() for model, t in grown.items()}
         moved = blocks.map(lambda b, sent=sent: _moved(b, sent, plan, settings)).persist(StorageLevel.MEMORY_AND_DISK)
@@ -431,7 +433,57 @@ def _blocks(base: DataFrame, keys, places, cuts, start, plan: Plan, settings: Se
     return dealt.mapInArrow(pack, "block binary").rdd.map(lambda r: pickle.loads(r["block"]))
 
 
-def _pass(context, blocks: RDD, asked, trees, plan: Plan, settings: Settings, split_keys: set[int]) -> list:
+def _sums(codes: np.ndarray, g: np.ndarray, h: np.ndarray, settings: Settings) -> np.ndarray:
+    """Sums of some rows by feature and bin: gradients, rows and, unless each hessian is 1, hessians."""
+    features, bins = codes.shape[1], settings.bins + 1
+    flat = (np.arange(features) * bins + codes).ravel()
+    size = features * bins
+    wide = [np.bincount(flat, np.repeat(g, features), size), np.bincount(flat, minlength=size)]
+    if settings.loss != SQUARED:
+        wide.append(np.bincount(flat, np.repeat(h, features), size))
+    return np.stack(wide).reshape(len(wide), features, bins)
+
+
+def _grown_here(codes: np.ndarray, g: np.ndarray, h: np.ndarray, settings: Settings) -> Tree:
+    """A tree over rows that lie in one block: leaf by leaf; of two new leaves the smaller is counted, the other is what is left of their parent."""
+    growing = Growing(settings)
+    rows, sums, new = {0: np.arange(len(codes))}, {0: _sums(codes, g, h, settings)}, [0]
+    while new:
+        for node, (total, split) in zip(new, best_splits(np.stack([sums[n] for n in new], axis=1), settings)):
+            growing.told(node, total, split)
+        new = growing.ask(1)
+        if new:
+            tree = growing.tree
+            parent = tree.left.index(new[0])
+            own, whole = rows.pop(parent), sums.pop(parent)
+            left = codes[own, tree.feature[parent]] <= tree.bin[parent]
+            rows[new[0]], rows[new[1]] = own[left], own[~left]
+            small, large = sorted(new, key=lambda n: len(rows[n]))
+            sums[small] = _sums(codes[rows[small]], g[rows[small]], h[rows[small]], settings)
+            sums[large] = whole - sums[small]
+    return growing.grown()
+
+
+def _grown_whole(blocks: RDD, plan: Plan, settings: Settings, split_keys: set[int]) -> list:
+    """(model, tree) of all keys that lie in one block: their leaves are counted and decided where they are."""
+
+    def grow(own: Iterator[Block]) -> Iterator[tuple]:
+        for block in own:
+            for key in np.unique(block.key):
+                if int(key) in split_keys:
+                    continue
+                mine = np.flatnonzero(block.key == key)
+                for m in range(plan.folds):
+                    learning = mine[plan.learns(block.fold[mine], m)]
+                    codes = block.codes[learning, m]
+                    for part in range(settings.classes):
+                        g, h = _gradients(block, learning, m, part, settings)
+                        yield (int(key), m, part), _grown_here(codes, g, h, settings)
+
+    return blocks.mapPartitions(grow).collect()
+
+
+def _pass(context, blocks: RDD, asked, trees, plan: Plan, settings: Settings) -> list:
     """((model, node), (total, split)) of all asked leaves that have rows."""
     sent = context.broadcast((asked, trees))
 
@@ -439,16 +491,10 @@ def _pass(context, blocks: RDD, asked, trees, plan: Plan, settings: Settings, sp
         wanted, grown = sent.value
         for block in own:
             for name, nodes, sums in _histograms(block, wanted, grown, plan, settings):
-                if name[0] in split_keys:
-                    yield from (((name, node), sums[:, i : i + 1]) for i, node in enumerate(nodes))
-                else:
-                    yield from (((name, node), found) for node, found in zip(nodes, best_splits(sums, settings)))
-
-    found = blocks.mapPartitions(count)
-    if split_keys:
-        merged = found.reduceByKey(np.add, max(1, min(len(asked), blocks.getNumPartitions())))
-        found = merged.mapValues(lambda v: best_splits(v, settings)[0] if isinstance(v, np.ndarray) else v)
-    out = found.collect()  # a few numbers per model and leaf
+                yield from (((name, node), sums[:, i : i + 1]) for i, node in enumerate(nodes))
+
+    merged = blocks.mapPartitions(count).reduceByKey(np.add, max(1, min(len(asked), blocks.getNumPartitions())))
+    out = merged.mapValues(lambda v: best_splits(v, settings)[0]).collect()  # a few numbers per model and leaf
     sent.destroy()
     return out
 
